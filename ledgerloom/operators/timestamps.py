@@ -47,7 +47,7 @@ _DATES = [
     )
 ]
 _WEEKDAY = re.compile(r"(?:mon|tue|tues|wed|thu|thur|thurs|fri|sat|sun)[a-z]*\.?,?\s+", re.I)
-_TIME = re.compile(r"(?P<h>\d{1,2}):(?P<mi>\d\d)(?::(?P<s>\d\d)(?:[.,](?P<f>\d{1,12}))?)?\s*(?P<ap>[AaPp]\.?[Mm]\.?)?|(?P<h2>\d\d)(?P<mi2>\d\d)(?P<s2>\d\d)(?:[.,](?P<f2>\d{1,12}))?")
+_TIME = re.compile(r"(?P<h>\d{1,2}):(?P<mi>\d\d)(?::(?P<s>\d\d)(?:[.,](?P<f>\d{1,12}))?)?(?:\s*(?P<ap>[AaPp]\.?[Mm]\.?)(?![A-Za-z]))?|(?P<h2>\d\d)(?P<mi2>\d\d)(?P<s2>\d\d)(?:[.,](?P<f2>\d{1,12}))?")
 _OFFSET = re.compile(r"(?:UTC|GMT)?(?P<sg>[+-])(?P<oh>\d{1,2}):?(?P<om>\d\d)?")
 _NUMBER = re.compile(r"\d+(?:\.\d+)?")
 
