@@ -332,7 +332,7 @@ def normalised_dates(spark, folder):
 
 
 @query(rf"""SELECT id, {_CLEAN.format('xcell')} AS clean, coalesce({_NUMBER.format(_CLEAN.format('xcell'))}, 0) AS amount, CASE WHEN xcell IS NOT NULL THEN {_PREFIX} END AS prefix, {_norm('name')} AS norm_name,
-coalesce(phone, '') AS shown, regexp_replace(invoice_no, '[^A-Za-z0-9_-]+', '_', 'g') AS file_name, coalesce(TRY_CAST(regexp_extract(coalesce(invoice_no, ''), '([0-9]+)\n?$', 1) AS DECIMAL(38,0)), 0)::VARCHAR AS trailing,
+coalesce(phone, '') AS shown, regexp_replace(invoice_no, '[^A-Za-z0-9_-]+', '_', 'g') AS file_name, coalesce(TRY_CAST(regexp_extract(coalesce(invoice_no, ''), '([0-9]+)\n?$', 1) AS DECIMAL(38,0)), 0)::VARCHAR AS last_number,
 CASE WHEN lower(trim(deleted_at)) NOT IN ('', 'null', 'none') THEN deleted_at END AS deleted,
 CASE WHEN length(split_part(scheme, '/', 1)) > 0 AND len(string_split(scheme, '/')) = 2 THEN TRY_CAST(CASE WHEN regexp_matches(trim(split_part(scheme, '/', 1)), '^[+-]?[0-9]+$') THEN trim(split_part(scheme, '/', 1)) END AS INTEGER) END AS total_parts
 FROM records""")
@@ -341,7 +341,7 @@ def scalar_functions(spark, folder):
     first = F.trim(F.get(parts, F.lit(0)))
     return records(spark, folder).select(
         "id", V.clean_amount("xcell").alias("clean"), V.amount("xcell").alias("amount"), V.numeric_prefix("xcell").alias("prefix"), V.norm_text("name").alias("norm_name"), V.display("phone").alias("shown"),
-        V.safe_name("invoice_no").alias("file_name"), V.trailing_number("invoice_no").cast("string").alias("trailing"), V.as_deleted("deleted_at").alias("deleted"),
+        V.safe_name("invoice_no").alias("file_name"), V.trailing_number("invoice_no").cast("string").alias("last_number"), V.as_deleted("deleted_at").alias("deleted"),
         F.when((F.size(parts) == 2) & first.rlike(r"^[+-]?[0-9]+$"), first.try_cast("int")).alias("total_parts"),
     )
 
