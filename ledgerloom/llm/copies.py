@@ -21,12 +21,13 @@ SEPARATOR = "\x1f"
 BUCKET_ENTRIES = 50_000
 #: Buckets that may be split at one level; their prefixes are held by the driver.
 MOST_SPLITS = 4096
-STEP = 2
+#: Bytes of the first prefixes; each round looks at twice as many.
+FIRST = 2
 
 
 def canonical(fields: list[str]) -> Column:
     """The fields without white space, case and punctuation of any script, in sorted order, as one text."""
-    plain = [F.regexp_replace(F.lower(F.upper(F.coalesce(F.col(f).cast("string"), F.lit("")))), r"[\p{P}\p{Z}\s\x{0B}\x{1C}-\x{1F}\x{85}]+", "") for f in fields]
+    plain = [F.regexp_replace(F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))), r"[\p{P}\p{Z}\s\x{0B}\x{1C}-\x{1F}\x{85}]+", "") for f in fields]
     return F.concat_ws(SEPARATOR, F.array_sort(F.array(*plain)))
 
 
@@ -116,25 +117,26 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-def radix_buckets(entries: DataFrame, text: str, bucket_entries: int = BUCKET_ENTRIES, step: int = STEP) -> Column:
-    """The bucket of each entry: its shortest prefix, in steps of ``step`` bytes, that few enough entries share.
+def radix_buckets(entries: DataFrame, text: str, bucket_entries: int = BUCKET_ENTRIES, first: int = FIRST) -> Column:
+    """The bucket of each entry: its shortest prefix of ``first`` bytes, twice as many, and so on, that few enough entries share.
 
     Each round counts the prefixes below the buckets that were too large.  These are disjoint and have more than
     ``max(bucket_entries, entries / MOST_SPLITS)`` entries each, so at most MOST_SPLITS come to the driver.  A
-    string that ends within its prefix can't be split further and needn't be: its bucket holds it alone.
+    string that ends within its prefix can't be split further and needn't be: its bucket holds it alone.  As prefixes
+    double, strings that share thousands of bytes take a few rounds more.
     """
     most = max(bucket_entries, entries.count() // MOST_SPLITS)
-    t, depth = F.encode(F.col(text), "UTF-8"), 0
+    t, depth = F.encode(F.col(text), "UTF-8"), first
     levels: list[tuple[int, list[bytes]]] = []
     within = F.lit(True)
     while True:
-        depth += step
         prefix = F.substring(t, 1, depth)
         split = [bytes(r["p"]) for r in entries.filter(within & (F.octet_length(t) > depth)).groupBy(prefix.alias("p")).count().filter(F.col("count") > most).select("p").collect()]
         if not split:
             break
         levels.append((depth, split))
         within = F.hex(prefix).isin([p.hex().upper() for p in split])
+        depth *= 2
     bucket = F.substring(t, 1, depth)
     for d, split in reversed(levels):
         own = F.substring(t, 1, d)

@@ -59,7 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_sales, p3_found, p3_buyers, p6_ids, p7_containers, p7_fill, p8_found, p8_pieces)}
 
 
-_PLAIN = r"regexp_replace(lower(upper(coalesce({}, ''))), '[\p{{P}}\p{{Z}}\s\x0B\x1C-\x1F\x{{85}}]+', '', 'g')"
+_PLAIN = r"regexp_replace(lower(coalesce({}, '')), '[\p{{P}}\p{{Z}}\s\x0B\x1C-\x1F\x{{85}}]+', '', 'g')"
 _COPIES = f"""
 SELECT min(id) AS first_id, count(*) AS copies
 FROM (SELECT id, list_sort([{", ".join(_PLAIN.format(c) for c in SALE_KEYS)}]) AS k FROM records)
