@@ -128,6 +128,30 @@ def days_of_month(first: Column) -> Column:
     return F.sequence(first, F.last_day(first))
 
 
+def first_of_month_after(date: Column, months: Column | int) -> Column:
+    return F.add_months(F.trunc(date, "MM"), months)
+
+
+def two_parts(c: Column | str) -> Column:
+    """``struct(first, second)`` of whole numbers with one slash between; null for all else."""
+    parts = F.split(col(c), "/")
+    number = lambda i: F.trim(F.get(parts, F.lit(i)))
+    fine = (F.size(parts) == 2) & number(0).rlike(r"^[+-]?\d+$") & number(1).rlike(r"^[+-]?\d+$")
+    return F.when(fine, F.struct(number(0).try_cast("int").alias("first"), number(1).try_cast("int").alias("second")))
+
+
+def utc_text(at: Column) -> Column:
+    """ISO text of an instant in UTC."""
+    return F.date_format(F.convert_timezone(None, F.lit("UTC"), at.cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def age(at: Column, now: Column) -> Column:
+    """How long ago an instant was, in words; null for null."""
+    s = F.unix_timestamp(now) - F.unix_timestamp(at)
+    words = lambda n, unit: F.concat(n.cast("bigint").cast("string"), F.lit(f" {unit}"), F.when(n.cast("bigint") == 1, "").otherwise("s"), F.lit(" ago"))
+    return F.when(s < 60, "just now").when(s < 3600, words(s / 60, "minute")).when(s < 86_400, words(s / 3600, "hour")).when(s >= 86_400, words(s / 86_400, "day"))
+
+
 def positional_iso(c: Column | str) -> Column:
     """Year, month and day by place in a DD-MM-YYYY text, whatever stands there; compared as text."""
     c = col(c)

@@ -16,6 +16,7 @@ from ledgerloom.functions import values as V
 from ledgerloom.operators import ledger as L
 from ledgerloom.operators import merge as M
 from ledgerloom.operators import mutations as U
+from ledgerloom.operators import outbox as O
 from ledgerloom.operators import replication as R
 from ledgerloom.sources.sinks import insert_statements
 from ledgerloom.sources.tables import table
@@ -524,3 +525,26 @@ def event_hours(spark, folder):
     """An addition: events by the hour."""
     hours = event_windows(table(spark, folder, "events").withColumn("value", F.col("value").try_cast("decimal(18,4)")))
     return hours.withColumn("total", F.col("total").cast("double"))
+
+
+@query("SELECT count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'in_flight') AS in_flight, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'blocked') AS blocked, (SELECT count(*) FROM conflicts WHERE status = 'open') AS open_conflicts FROM outbox")
+def sync_status(spark, folder):
+    return O.sync_status(table(spark, folder, "outbox"), table(spark, folder, "conflicts"))
+
+
+@query("SELECT id, op_id, (row_number() OVER (ORDER BY id) - 1) // 50 AS batch FROM outbox WHERE status = 'pending'")
+def push_batches(spark, folder):
+    return O.push_batches(table(spark, folder, "outbox")).select("id", "op_id", "batch")
+
+
+_CHANGED = ("name", "product", "serial_no", "bid", "phone")
+
+
+@query(f"""WITH s AS (SELECT sync_id, arg_max(x, k) AS x FROM (SELECT sync_id, {{'server_rev': server_rev, 'id': id}} AS k, {{'name': name, 'product': product, 'serial_no': serial_no, 'bid': bid, 'phone': phone, 'deleted_at': deleted_at}} AS x FROM records_online WHERE sync_id IS NOT NULL) GROUP BY sync_id)
+SELECT r.sync_id, CASE WHEN s.sync_id IS NOT NULL AND r.deleted_at IS NOT NULL AND x.deleted_at IS NULL THEN 'delete' ELSE 'upsert' END AS op_type FROM records r LEFT JOIN s USING (sync_id)
+WHERE r.sync_id IS NOT NULL AND ((s.sync_id IS NOT NULL AND r.deleted_at IS NOT NULL AND x.deleted_at IS NULL) OR (r.deleted_at IS NULL AND (s.sync_id IS NULL OR {" OR ".join(f"{_norm('r.' + f)} <> {_norm('x.' + f)}" for f in _CHANGED)})))""")
+def local_changes(spark, folder):
+    """The ops that would make the ledger of the server's rows."""
+    cols = ("deleted_at", "server_rev", *_CHANGED)
+    server = table(spark, folder, "records_online").filter("sync_id IS NOT NULL").groupBy("sync_id").agg(F.max_by(F.struct(*cols), F.struct("server_rev", "id")).alias("x")).select("sync_id", "x.*")
+    return O.changes_between(server, records(spark, folder), list(_CHANGED)).select("sync_id", "op_type")

@@ -7,6 +7,8 @@ written under this folder.  A machine-local folder is used only where the settin
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -28,8 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path of this name in the shared folder."""
-    return f"{shared_dir(spark)}/ledgerloom/{what}-{uuid.uuid4().hex}"
+    """A new path of this name in the shared folder; removed when the driver ends, if the session still runs then."""
+    path = f"{shared_dir(spark)}/ledgerloom/{what}-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    return path
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        remove(spark, path)
 
 
 def cut(df: DataFrame) -> DataFrame:

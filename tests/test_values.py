@@ -42,6 +42,15 @@ def test_texts(spark):
     assert over(spark, [5, 99, 100], V.padded_counter, "int") == ["05", "99", "100"]
 
 
+def test_parts_ages_months(spark):
+    assert [r and tuple(r) for r in over(spark, ["12/4", " 6 / 2 ", "10", "1/2/3", "a/b", None, "3/-5", "9" * 20 + "/1"], V.two_parts)] == [(12, 4), (6, 2), None, None, None, None, (3, -5), (None, 1)]
+    now = F.lit("2026-01-02 00:00:00").cast("timestamp")
+    texts = ["2026-01-01 23:59:30", "2026-01-01 23:58:50", "2026-01-01 21:00:00", "2025-12-30 00:00:00", None]
+    assert over(spark, texts, lambda c: V.age(c.cast("timestamp"), now)) == ["just now", "1 minute ago", "3 hours ago", "3 days ago", None]
+    assert over(spark, ["2026-12-24"], lambda c: V.first_of_month_after(c.cast("date"), 2).cast("string")) == ["2027-02-01"]
+    assert over(spark, ["2026-12-24 01:02:03"], lambda c: V.utc_text(c.cast("timestamp"))) == ["2026-12-24T01:02:03+00:00"]
+
+
 @pytest.mark.parametrize(("n", "words"), [(0, "zero"), (21, "twenty-one"), (105, "one hundred and five"), (1234, "one thousand, two hundred and thirty-four"), (1_000_001, "one million and one")])
 def test_words(n, words):
     assert V.spell(n) == words
