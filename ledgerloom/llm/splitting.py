@@ -20,13 +20,14 @@ from ledgerloom.llm.tokens import VOCABULARY, ForcedBoundaryEncoder, encoder
 LIMIT, OVERLAP = 1024, 64
 
 _NL = rb"(?:\r\n|\r|\n)"
-#: By level, coarse to fine, patterns whose match begins where a piece may end: before the white space.
+#: By level, coarse to fine, patterns whose match begins where a piece may end: before the white space.  Words, the
+#: next level, end before any white space, and need no pattern.
 SEPARATORS = (
     ("section", re.compile(rb"\f|" + _NL + rb"(?:[ \t]*" + _NL + rb"){2,}|" + _NL + rb"(?=#{1,6} |[=*_-]{3,}[ \t]*" + _NL + rb"|[A-Z][A-Z0-9 /&-]{3,60}" + _NL + rb")")),
     ("paragraph", re.compile(_NL + rb"[ \t]*" + _NL)),
     ("sentence", re.compile(_NL + rb"""|(?<=[.!?])\s|(?<=[.!?]["')\]])\s|(?<=\xe0\xa5\xa4)(?!\xe0\xa5\xa4)""")),
-    ("word", re.compile(rb"(?<=\S)\s")),
 )
+LEVELS = (*(name for name, _ in SEPARATORS), "word", "character")
 
 
 class Splitter:
@@ -35,7 +36,7 @@ class Splitter:
             raise ValueError("overlap must be less than limit")
         self.e, self.limit, self.overlap = e, limit, overlap
 
-    def _units(self, data: bytes, ends: np.ndarray, whole: np.ndarray) -> list[tuple[int, str]]:
+    def _units(self, data: bytes, ends: np.ndarray, whole: np.ndarray, words: np.ndarray) -> list[tuple[int, str]]:
         """(end in tokens, level of that boundary) of the units, in order; none larger than limit - overlap if
         the text has any boundary at all inside."""
         most = self.limit - self.overlap
@@ -46,15 +47,15 @@ class Splitter:
             t = np.searchsorted(offset, found)
             return t[(t < len(offset)) & (offset[np.minimum(t, len(offset) - 1)] == found)]
 
-        cuts = [at_tokens(np.array([m.start() for m in p.finditer(data)], np.int64)) for _, p in SEPARATORS]
+        cuts = [at_tokens(np.array([m.start() for m in p.finditer(data)], np.int64)) for _, p in SEPARATORS] + [words]
 
         def divide(lo: int, hi: int, level: int, ended_by: str) -> None:
             if hi - lo <= most:
                 out.append((hi, ended_by))
-            elif level < len(SEPARATORS):
+            elif level < len(cuts):
                 own = cuts[level][np.searchsorted(cuts[level], lo, "right") : np.searchsorted(cuts[level], hi)].tolist()
                 for a, b in zip([lo, *own], [*own, hi], strict=True):
-                    divide(a, b, level + 1, SEPARATORS[level][0] if b != hi else ended_by)
+                    divide(a, b, level + 1, LEVELS[level] if b != hi else ended_by)
             else:
                 while hi - lo > most:
                     inside = np.flatnonzero(whole[lo + 1 : lo + most + 1])
@@ -79,7 +80,7 @@ class Splitter:
         white = np.isin(b, np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
         clean = np.concatenate([[True], white[ends] & ~white[ends - 1]])  # ... where the pattern splits anyway
         offset = np.concatenate([[0], ends])
-        units = self._units(data, ends, whole)
+        units = self._units(data, ends, whole, np.flatnonzero(clean[:-1])[1:])
         places = np.array([u for u, _ in units])
         out: list[tuple[int, int, str, str]] = []
         start, n = 0, len(ids)
