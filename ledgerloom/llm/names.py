@@ -315,6 +315,11 @@ def agree(a: Form, b: Form) -> int | None:
     return None if g is None else s + g
 
 
+def reading(f: Form) -> tuple:
+    """All of a form that ``agree`` looks at."""
+    return f.firm, f.core, tuple(sorted(f.given.items())), f.initial, f.surname, f.surname_cut
+
+
 def full(f: Form) -> bool:
     """Whether a form tells the whole name: the firm, or one formal given name and the surname."""
     return f.firm or (bool(f.surname) and bool(f.given) and min(f.given.values()) in (0, 2))
@@ -350,7 +355,8 @@ class Shard:
         """The number of the buyer of each form, and whether the form tells the whole name."""
         forms = self.forms(keys)
         order = sorted(range(len(forms)), key=lambda i: (not full(forms[i]), min(forms[i].given.values(), default=9), -counts[i], keys[i]))
-        buyers: list[list[int]] = []
+        told: list[dict[tuple, Form]] = []  # each buyer's forms, those that read alike once
+        records: list[int] = []
         index: dict[str, list[int]] = defaultdict(list)  # buyers by what a form must share with one of their forms
         names = Trie()  # surnames and firms' cores so far
         out = [0] * len(forms)
@@ -358,16 +364,16 @@ class Shard:
             f = forms[i]
             best: tuple[int, int, int] | None = None
             for b in self._candidates(f, index, names):
-                costs = [c for j in buyers[b][:12] if (c := agree(f, forms[j])) is not None]
+                costs = [c for g in told[b].values() if (c := agree(f, g)) is not None]
                 if costs:
-                    rank = (min(costs), -sum(counts[j] for j in buyers[b]), b)
+                    rank = (min(costs), -records[b], b)
                     best = min(best, rank) if best else rank
             if best is None:
-                buyers.append([i])
-                out[i] = len(buyers) - 1
-            else:
-                out[i] = best[2]
-                buyers[out[i]].append(i)
+                told.append({})
+                records.append(0)
+            out[i] = best[2] if best else len(told) - 1
+            told[out[i]].setdefault(reading(f), f)
+            records[out[i]] += counts[i]
             for mark in self._marks(f):
                 held = index[mark]
                 if not held or held[-1] != out[i]:

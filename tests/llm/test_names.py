@@ -58,6 +58,22 @@ def test_one_buyer(spark, spellings):
     assert groups(spark, [(i, s, P) for i, s in enumerate(spellings, 1)]) == [list(range(1, len(spellings) + 1))]
 
 
+def together(keys, counts=None):
+    """The forms of one number by buyer, without Spark."""
+    which, _ = N.Shard(N.Given([(a, b) for a, b in GIVEN])).resolve(keys, counts or [1] * len(keys))
+    out = {}
+    for k, w in zip(keys, which, strict=True):
+        out.setdefault(w, []).append(k)
+    return sorted(map(sorted, out.values()))
+
+
+def test_a_form_is_compared_with_every_form_of_a_buyer():
+    """A third spelling agrees only with the second, which comes after more than twelve ways to write the first."""
+    first = [f"{t}minula dhorajun{n}" for t in ("", "mr ", "mrs ", "ms ", "smt ") for n in ("", " (self)", " - old")]
+    keys = [*first, "minula dhorjan", "minula dhrjan"]
+    assert together(keys, [3] * len(first) + [2, 1]) == [sorted(keys)]
+
+
 def test_households_firms_and_strangers(spark):
     rows = [
         (1, "Minula Dhorajun", P), (2, "Nimansh Dhorajun", P), (3, "Nimu Dhorajun", P), (4, "M. Dhorajun", P), (5, "New Dhorajun Traders", P), (6, "Tarendra Karpatti", P), (7, "Tarindra Karpatti", P), (8, "Minula Dhorajun", "5999999999"), (9, "minula dhorajun", "+91 59999 99999"),
