@@ -141,6 +141,7 @@ class KeyState:
 
     def __init__(self, fields: Sequence[str], row: dict | None, deleted: str | None, frozen: bool):
         self.fields, self.row, self.deleted, self.frozen, self.changed = fields, row, deleted, frozen, False
+        self.done: set[str] = set()  # op_ids applied so far
 
     def _differ(self, a: dict, b: dict) -> bool:
         return any(not same_value(f, a.get(f), b.get(f)) for f in self.fields)
@@ -155,6 +156,14 @@ class KeyState:
             return op["stored"], "replayed", []
         if not op["op_id"]:
             return "error", "op without id", []
+        if op["op_id"] in self.done:
+            return "applied", "replayed", []
+        result = self._apply(op)
+        if result[0] == "applied":
+            self.done.add(op["op_id"])
+        return result
+
+    def _apply(self, op: dict) -> tuple[str, str, list[tuple[str, str]]]:
         if self.frozen:
             return "conflict", "open conflict", []
         payload, base = op["payload"] or {}, op["base"]
@@ -224,7 +233,8 @@ def apply_ops(ops: DataFrame, server: DataFrame, applied: DataFrame, conflicts:
 
     results: ``id, op_id, sync_id, op_type, result, reason, conflicts, server_rev_after``; changed: ``sync_id, row,
     deleted_at, server_rev``.  An op already in ``applied`` (by op_id) gives its stored result and does
-    nothing.  Ops of a row are applied in order of id by one task that holds one row's state at a time, so the length of a
+    nothing; so does a later delivery of one applied here, with the revision of the first.  Conflicts, errors and no-ops aren't
+    stored, so an op delivered again after one is tried again.  Ops of a row are applied in order of id by one task that holds one row's state at a time, so the length of a
     row's history doesn't matter.  A conflict holds back all later ops of its row, as one open before does.
     Revisions follow ``first_rev`` in order of id over all applied ops.  ``stop_at_error``: nothing from the first op in error
     on is processed.
@@ -266,10 +276,26 @@ def apply_ops(ops: DataFrame, server: DataFrame, applied: DataFrame, conflicts:
 
     schema = to_arrow_schema(_parse_datatype_string(ddl))
 
-    def run(todo: DataFrame) -> DataFrame:
+    def once(todo: DataFrame) -> DataFrame:
         both = rows.unionByName(todo).join(held, "sync_id", "left")
         return storage.cut(both.repartition("sync_id").sortWithinPartitions("sync_id", "kind", "id").mapInArrow(fold, ddl))
 
+    # op_ids delivered for more than one row: which delivery is applied first only shows when the rows are folded
+    shared = storage.cut(todo.filter("stored IS NULL AND op_id <> ''").groupBy("op_id").agg(F.min("sync_id").alias("_a"), F.max("sync_id").alias("_b")).filter("_a <> _b").select("op_id"))
+    alone = shared.isEmpty()
+
+    def run(todo: DataFrame) -> DataFrame:
+        """The fold; where rows share op_ids again and again, each time with the first applied deliveries of the time
+        before stored for later ones, until they stay the same.  Each time at least one more op in order of id is right."""
+        folded, before = once(todo), None
+        while not alone:
+            first = storage.cut(folded.filter("NOT is_row AND result = 'applied' AND reason <> 'replayed'").join(shared, "op_id", "left_semi").groupBy("op_id").agg(F.min("id").alias("_first")))
+            if before is not None and first.exceptAll(before).isEmpty() and before.exceptAll(first).isEmpty():
+                break
+            known = F.when(F.col("id") > F.col("_first"), F.lit("applied"))
+            folded, before = once(todo.join(first, "op_id", "left").withColumn("stored", F.coalesce("stored", known)).drop("_first")), first
+        return folded
+
     folded = run(todo)
     if stop_at_error:
         first = folded.filter("result = 'error'").agg(F.min("id")).first()[0]
@@ -277,8 +303,8 @@ def apply_ops(ops: DataFrame, server: DataFrame, applied: DataFrame, conflicts:
             folded = run(todo.filter(F.col("id") < first))
     results = folded.filter("NOT is_row").drop("is_row", "row", "deleted_at")
     new = (F.col("result") == "applied") & (F.col("reason") != "replayed")
-    revs = rank_within(results.filter(new).select("id", "sync_id"), [], [F.asc("id")], "_n").withColumn("_rev", F.col("_n") + F.lit(first_rev))
-    results = results.join(revs.select("id", "_rev"), "id", "left").withColumn("server_rev_after", F.coalesce("_rev", "server_rev_after")).drop("_rev")
+    revs = rank_within(results.filter(new).select("id", "op_id", "sync_id"), [], [F.asc("id")], "_n").withColumn("_rev", F.col("_n") + F.lit(first_rev))
+    results = results.join(revs.select("op_id", "_rev"), "op_id", "left").withColumn("server_rev_after", F.coalesce(F.when(F.col("result") == "applied", F.col("_rev")), "server_rev_after")).drop("_rev")
     last = revs.groupBy("sync_id").agg(F.max("_rev").alias("server_rev"))
     return results, folded.filter("is_row").select("sync_id", "row", "deleted_at").join(last, "sync_id")
 

@@ -102,6 +102,17 @@ def test_replay_freeze_and_cut_off(world):
     assert set(world.run(stop_at_error=True)) == {1, 2} and world.changed == {}
 
 
+def test_an_op_delivered_again_is_replayed(world):
+    """Within the outbox, for the same row, after a later op of it, and for another row."""
+    one = BASE | {"name": "N1"}
+    world.outbox = [op(1, "a", one, op_id="x"), op(2, "a", one, op_id="x"), op(3, "a", one | {"name": "N3"}, one), op(4, "a", one, op_id="x"), op(5, "a", one | {"name": "N3", "phone": "5"}, one | {"name": "N3"})]
+    world.outbox += [op(6, "b", BASE | {"invoice_no": "INV-B", "name": "M"}, BASE | {"invoice_no": "INV-B"}, op_id="x"), op(7, "none", BASE, op_type="delete", op_id="y"), op(8, "new", BASE, None, base_rev=0, op_id="y"), op(9, "b", BASE | {"invoice_no": "INV-B", "name": "K"}, BASE | {"invoice_no": "INV-B"}, op_id="y")]
+    got = world.run()
+    assert [got[i] for i in (1, 2, 3, 4, 5, 6)] == [("applied", "", 101), ("applied", "replayed", 101), ("applied", "", 102), ("applied", "replayed", 101), ("applied", "", 103), ("applied", "replayed", 101)]
+    assert got[7][0] == "error" and got[8] == ("applied", "", 104) and got[9] == ("applied", "replayed", 104)
+    assert (world.changed["a"]["row"]["name"], world.changed["a"]["row"]["phone"]) == ("N3", "5") and set(world.changed) == {"a", "new"}
+
+
 def test_a_conflict_holds_back_what_follows(world):
     world.server[0] = ("a", 1, BASE | {"price": 1111.0}, None)
     world.outbox = [op(1, "a", BASE | {"price": 3333.0}), op(2, "a", BASE | {"name": "fine"})]
