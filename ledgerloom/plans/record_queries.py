@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom import storage
 from ledgerloom.operators import changelog, table_diff, timestamps
+from ledgerloom.schema import FIELD_TYPES
 from ledgerloom.sources.tables import table
 
 
@@ -22,24 +23,33 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return timestamps.normalise(table(spark, folder, "records"), table(spark, folder, "counters"), {"bid_date": "day", "created_at": "instant"}, dictionary)
 
 
-def _replayed(spark: SparkSession, folder: str, with_payload: bool) -> DataFrame:
+def _replayed(spark: SparkSession, folder: str) -> DataFrame:
     log = changelog.ChangeLog(spark, storage.scratch(spark, "changes"))
-    log.append(changelog.outbox_changes(table(spark, folder, "outbox"), with_payload))
+    log.append(changelog.outbox_changes(table(spark, folder, "outbox")))
     return log.read()
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _replayed(spark, folder, False).select(F.col("key").alias("sync_id"), "value.op_id")
+    return _replayed(spark, folder).select(F.col("key").alias("sync_id"), "value.op_id")
+
+
+def _rebuilt(spark: SparkSession, folder: str, fields: Iterable[str]) -> DataFrame:
+    ddl = ", ".join(f"{f} {FIELD_TYPES[f]}" for f in fields)
+    return _replayed(spark, folder).select(F.col("key").alias("sync_id"), F.from_json("value.payload", ddl).alias("p")).select("sync_id", "p.*")
 
 
 def p5_state(spark: SparkSession, folder: str) -> DataFrame:
-    """The rows themselves: each sync_id's final business fields."""
-    fields = "sr_no bigint, bid_date string, invoice_no string, name string, price double, bid string, phone string, month string"
-    return _replayed(spark, folder, True).select(F.col("key").alias("sync_id"), F.from_json("value.payload", fields).alias("p")).select("sync_id", "p.*")
+    """Eight of each sync_id's final business fields; p5_rows has them all."""
+    return _rebuilt(spark, folder, ("sr_no", "bid_date", "invoice_no", "name", "price", "bid", "phone", "month"))
+
+
+def p5_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows themselves: all of each sync_id's final business fields."""
+    return _rebuilt(spark, folder, FIELD_TYPES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_state)}
+    return {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_state, p5_rows)}
 
 
 _INVOICE = r"lower(regexp_replace(invoice_no, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'))"
@@ -72,4 +82,8 @@ UNION ALL SELECT sync_id, 'price' FROM j WHERE price IS DISTINCT FROM p2""",
  payload_json ->> '$.payload.invoice_no' AS invoice_no, payload_json ->> '$.payload.name' AS name, CAST(payload_json ->> '$.payload.price' AS DOUBLE) AS price,
  payload_json ->> '$.payload.bid' AS bid, payload_json ->> '$.payload.phone' AS phone, payload_json ->> '$.payload.month' AS month
 FROM last WHERE n = 1 AND NOT gone""",
+        "p5_rows": _CHANGES
+        + "SELECT sync_id, "
+        + ", ".join(f"CAST(payload_json ->> '$.payload.{f}' AS {t}) AS {f}" for f, t in FIELD_TYPES.items()).replace("AS string)", "AS VARCHAR)")
+        + " FROM last WHERE n = 1 AND NOT gone",
     }

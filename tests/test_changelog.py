@@ -82,3 +82,13 @@ def test_a_run_without_success_mark_does_not_count(spark):
     log.append(outbox_changes(table(spark, [(2, "o2", "a", "upsert", payload(2), 1)])))
     storage.remove(spark, log.runs()[-1][1] + "/_SUCCESS")
     assert final(log) == {"a": "o1"}
+
+
+def test_rebuilt_rows_have_every_field(spark, tmp_path):
+    from ledgerloom.plans import record_queries
+    from ledgerloom.schema import FIELD_TYPES
+
+    row = {f: 7 if t == "bigint" else 1.5 if t == "double" else f"a {f}" for f, t in FIELD_TYPES.items()}
+    deliveries = [("s", f"o{n}", "upsert", json.dumps({"payload": row | {"remarks": f"r{n}"}, "local_row_rev": n}), 1) for n in (2, 1)]
+    spark.createDataFrame(deliveries, "sync_id string, op_id string, op_type string, payload_json string, base_rev long").write.parquet(f"{tmp_path}/outbox.parquet")
+    assert [r.asDict() for r in record_queries.p5_rows(spark, str(tmp_path)).collect()] == [{"sync_id": "s"} | row | {"remarks": "r2"}]
