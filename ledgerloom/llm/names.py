@@ -325,6 +325,73 @@ def full(f: Form) -> bool:
     return f.firm or (bool(f.surname) and bool(f.given) and min(f.given.values()) in (0, 2))
 
 
+class Index:
+    """Forms that read differently, found by what ``agree`` asks for: for a form, all that may agree with it.
+
+    Surnames and firms' cores are in a trie by letters and in one by sound; within a surname, and among forms without one,
+    forms are listed by formal given name and initial.
+    """
+
+    def __init__(self) -> None:
+        self.seen: dict[tuple, int] = {}
+        self.forms: list[Form] = []
+        self.lists: dict[tuple, list[int]] = defaultdict(list)
+        self.letters, self.cores, self.sounds = Trie(), Trie(), Trie()  # surnames; firms' cores; their sounds
+        self.alike: dict[str, set[str]] = defaultdict(set)  # surnames by sound
+        self.spelled: dict[str, set[str]] = defaultdict(set)  # cores by sound
+
+    def add(self, f: Form) -> int:
+        """The place of the form that reads so."""
+        if (n := self.seen.get(r := reading(f))) is not None:
+            return n
+        n = self.seen[r] = len(self.forms)
+        self.forms.append(f)
+        if f.firm:
+            if f.core:
+                self.lists["firm", f.core].append(n)
+                self.cores.add(f.core)
+                self.sounds.add(heard := sound(f.core))
+                self.spelled[heard].add(f.core)
+            return n
+        if f.surname and not self.lists.get((f.surname, "any")):
+            self.letters.add(f.surname)
+            self.alike[sound(f.surname)].add(f.surname)
+        marks = {f"g{x}" for x in f.given if x[0] != "?"} | {f"h{x.lstrip('?')[:1]}" for x in f.given} | ({f"i{f.initial}"} if f.initial else set())
+        marks |= {"unknown"} if any(x[0] == "?" for x in f.given) else set() if f.given or f.initial else {"alone"}
+        for m in (*marks, "any"):
+            self.lists[f.surname, m].append(n)
+            if f.surname:
+                self.lists[None, m].append(n)
+        return n
+
+    def candidates(self, f: Form) -> list[int]:
+        if f.firm:
+            if not f.core:
+                return []
+            near = {w for w, _ in self.cores.neighbours(f.core, 2)}
+            near.update(c for w, _ in self.sounds.neighbours(sound(f.core), 2) for c in self.spelled[w])
+            return sorted({n for w in near for n in self.lists["firm", w]})
+        given = [x for x in f.given if x[0] != "?"]
+        first = {x.lstrip("?")[:1] for x in f.given}
+        if len(given) < len(f.given):
+            marks = ["any"]
+        elif given:
+            marks = [*(f"g{x}" for x in given), "unknown", *(f"i{c}" for c in first)]
+        elif f.initial:
+            marks = [f"h{f.initial}", f"i{f.initial}"]
+        else:
+            marks = []
+        beside: set[str | None] = {"", None}
+        if f.surname:
+            beside = {w for w, _ in self.letters.neighbours(f.surname, slips(f.surname))} | self.alike.get(sound(f.surname), set())
+            found = {n for w in beside for m in (marks + ["alone"] if marks else ["any"]) for n in self.lists.get((w, m), ())}
+            beside = {""}
+        else:
+            found = set()
+        found.update(n for w in beside for m in marks for n in self.lists.get((w, m), ()))
+        return sorted(found)
+
+
 class Shard:
     """The forms of name under one number, made into buyers."""
 
@@ -355,63 +422,29 @@ class Shard:
         """The number of the buyer of each form, and whether the form tells the whole name."""
         forms = self.forms(keys)
         order = sorted(range(len(forms)), key=lambda i: (not full(forms[i]), min(forms[i].given.values(), default=9), -counts[i], keys[i]))
-        told: list[dict[tuple, Form]] = []  # each buyer's forms, those that read alike once
+        index = Index()
+        whose: list[dict[int, None]] = []  # the buyers of each form in the index
         records: list[int] = []
-        index: dict[str, list[int]] = defaultdict(list)  # buyers by what a form must share with one of their forms
-        names = Trie()  # surnames and firms' cores so far
         out = [0] * len(forms)
         for i in order:
             f = forms[i]
-            best: tuple[int, int, int] | None = None
-            for b in self._candidates(f, index, names):
-                costs = [c for g in told[b].values() if (c := agree(f, g)) is not None]
-                if costs:
-                    rank = (min(costs), -records[b], b)
-                    best = min(best, rank) if best else rank
-            if best is None:
-                told.append({})
+            costs: dict[int, int] = {}
+            for n in index.candidates(f):
+                if (c := agree(f, index.forms[n])) is not None:
+                    for b in whose[n]:
+                        costs[b] = min(costs.get(b, c), c)
+            if costs:
+                out[i] = min((c, -records[b], b) for b, c in costs.items())[2]
+            else:
+                out[i] = len(records)
                 records.append(0)
-            out[i] = best[2] if best else len(told) - 1
-            told[out[i]].setdefault(reading(f), f)
             records[out[i]] += counts[i]
-            for mark in self._marks(f):
-                held = index[mark]
-                if not held or held[-1] != out[i]:
-                    held.append(out[i])
-            if own := f.core if f.firm else f.surname:
-                names.add(own)
+            n = index.add(f)
+            if n == len(whose):
+                whose.append({})
+            whose[n][out[i]] = None
         return out, [full(f) for f in forms]
 
-    @staticmethod
-    def _marks(f: Form) -> list[str]:
-        if f.firm:
-            return ["firm", f"c{f.core}"]
-        given = [*(f"g{x}" for x in f.given)]
-        return ["person", *given, f"s{f.surname}" if f.surname else "", *(() if f.surname else (f"p{x}" for x in given)), f"i{f.initial}" if f.initial and not f.surname else ""]
-
-    def _candidates(self, f: Form, index: dict[str, list[int]], names: Trie) -> list[int]:
-        """Buyers that may agree: all of the kind where these are few, else those whose surname (or firm) is within
-        the edits allowed, by the trie, those of a shared given name where one of the two has no whole surname, and
-        those of a shared initial alike."""
-        every = index["firm" if f.firm else "person"]
-        if len(every) <= 64:
-            return list(dict.fromkeys(every))
-        if f.firm:
-            marks = [f"c{w}" for w, _ in names.neighbours(f.core, 2)] + [f"c{w}" for w in self._sounding(f.core, names)]
-        elif f.surname:
-            marks = [f"s{w}" for w, _ in names.neighbours(f.surname, slips(f.surname))] + [f"s{w}" for w in self._sounding(f.surname, names)]
-            marks += [f"pg{x}" for x in f.given] + [f"i{c}" for c in {f.initial, *(x.lstrip("?")[:1] for x in f.given)} if c]
-        elif f.given:
-            marks = [f"g{x}" for x in f.given] + [f"i{c}" for c in {x.lstrip("?")[:1] for x in f.given}]
-        else:
-            return list(dict.fromkeys(every))
-        return list(dict.fromkeys(b for m in dict.fromkeys(marks) for b in index.get(m, ())))
-
-    @staticmethod
-    def _sounding(word: str, names: Trie) -> list[str]:
-        """Words that sound the same and are further away in letters."""
-        return [w for w, _ in names.neighbours(sound(word), 2)] if sound(word) != word else []
-
 
 def ten_digits(phone: Column) -> Column:
     """The last ten digits of a number in any form; null for one of fewer."""

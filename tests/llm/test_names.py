@@ -74,6 +74,29 @@ def test_a_form_is_compared_with_every_form_of_a_buyer():
     assert together(keys, [3] * len(first) + [2, 1]) == [sorted(keys)]
 
 
+def test_candidates_are_all_that_agree():
+    """At any size and in either order of coming."""
+    r = random.Random(3)
+    surnames = ["dhorajun", "dhorjan", "dhrjan", "jeewan", "jivan", "jiwan", "karpatti", "karpati", "rao", "roa", "dh.", "k.", ""]
+    keys = {f"{r.choice(['minula', 'minu', 'm.', 'n.', 'nimansh', 'guddan', 'dalika', 'mniula', 'xqorv', 'xqorw', ''])} {r.choice(surnames)}".strip() for _ in range(900)}
+    keys |= {f"{a} {b}" for a in ("suryoda", "suriyoda", "sooryoda", "jeewan", "jivan", "sai") for b in ("traders", "entp")}
+    shard = N.Shard(N.Given(GIVEN))
+    forms = shard.forms(sorted(keys - {""}))
+    for order in (forms, forms[::-1], r.sample(forms, len(forms))):
+        index = N.Index()
+        for f in order:
+            found = {N.reading(index.forms[n]) for n in index.candidates(f)}
+            assert {N.reading(g) for g in index.forms if N.agree(f, g) is not None} <= found
+            index.add(f)
+
+
+def test_sounds_and_given_names_alone_in_large_numbers():
+    others = ["".join(r.choices("bcdfglpstz", k=10)) for r in [random.Random(5)] for _ in range(150)]
+    others = [f"tarendra {x}" for x in others]
+    for few in (["minula jeewan", "minula jivan"], ["minula jivan", "minula jeewan"], ["minula", "m. dhorajun"]):
+        assert sorted(few) in together([*few, *others], [3, 2] + [1] * len(others)) and sorted(few) in together(few)
+
+
 def test_households_firms_and_strangers(spark):
     rows = [
         (1, "Minula Dhorajun", P), (2, "Nimansh Dhorajun", P), (3, "Nimu Dhorajun", P), (4, "M. Dhorajun", P), (5, "New Dhorajun Traders", P), (6, "Tarendra Karpatti", P), (7, "Tarindra Karpatti", P), (8, "Minula Dhorajun", "5999999999"), (9, "minula dhorajun", "+91 59999 99999"),
