@@ -418,6 +418,21 @@ class Shard:
                 assign(f, self.given, meant)
         return forms
 
+    def same(self, a: list[dict], b: list[dict]) -> bool:
+        """Whether two numbers' buyers, each of forms ``key, n``, are one."""
+        keys = list(dict.fromkeys(f["key"] for side in (a, b) for f in side))
+        of = {f.key: f for f in self.forms(keys)}
+        whole = [[f for f in side if full(of[f["key"]])] for side in (a, b)]
+        compared = [[f["key"] for f in side] for side in (whole if all(whole) else (a, b))]
+        if all(whole):
+            for side, chosen in zip((a, b), compared, strict=True):
+                best = max(side, key=lambda f: (len(f["key"]) - 100 * ("." in f["key"]), f["n"], f["key"]))
+                chosen += [best["key"], max(side, key=lambda f: (f["n"], f["key"]))["key"]]
+        index = Index()
+        for k in compared[0]:
+            index.add(of[k])
+        return any(agree(of[k], index.forms[n]) is not None for k in dict.fromkeys(compared[1]) for n in index.candidates(of[k]))
+
     def resolve(self, keys: list[str], counts: list[int]) -> tuple[list[int], list[bool]]:
         """The number of the buyer of each form, and whether the form tells the whole name."""
         forms = self.forms(keys)
@@ -561,8 +576,7 @@ def same_buyer(
         yield batch()
 
     resolved = storage.cut(sharded.repartition("phone10", "part").sortWithinPartitions("phone10", "part", "first").mapInArrow(resolve, "phone10 string, key string, entity bigint, n bigint, tells boolean"))
-    entities = resolved.groupBy("phone10", "entity").agg(F.max_by(F.struct("key"), F.struct(F.length("key") - 100 * F.col("key").contains(".").cast("int"), "n", "key"))["key"].alias("best"), F.max_by("key", F.struct("n", "key")).alias("usual"))
-    links = _slip_links(entities, pairs)
+    links = _slip_links(resolved, pairs)
     if hot:  # a whole name that lies in several parts of its number links the buyers found there
         several = resolved.filter(F.col("phone10").isin(*hot) & F.col("tells")).groupBy("phone10", "key").agg(F.min("entity").alias("a"), F.collect_set("entity").alias("all"))
         links = links.unionByName(several.select("a", F.explode("all").alias("b")).filter("a <> b"))
@@ -574,9 +588,13 @@ def same_buyer(
     return rows.join(buyer, ["phone10", "key"]).select("id", "name", F.col("entity").alias("buyer"))
 
 
-def _slip_links(entities: DataFrame, pairs: list[tuple]) -> DataFrame:
+def _slip_links(resolved: DataFrame, pairs: list[tuple]) -> DataFrame:
     """Buyers of numbers one slip apart (one digit wrong, or two neighbours exchanged) whose names agree.
 
+    All forms of the two are compared where one of them never tells the whole name. Else, as under one number, the forms that
+    tell it are, and beside these each one's longest and commonest form: a short form of a buyer known in full
+    may stand for others too.
+
     Each number has a key for each digit masked and for each exchange.  At most ten numbers share a key
     of the one kind and two of the other: a key keeps no list but ten bits, the digits (or the two orders) seen
     there.  A number has at most 99 such neighbours.
@@ -588,7 +606,7 @@ def _slip_links(entities: DataFrame, pairs: list[tuple]) -> DataFrame:
     masked = [F.struct(key(F.col("_p") - digit(i) * 10**i, i), bit(digit(i))) for i in range(10)]
     low, high = (lambda i, f=f: f(digit(i), digit(i + 1)) for f in (F.least, F.greatest))
     swapped = [F.when(digit(i) != digit(i + 1), F.struct(key(F.col("_p") + (high(i) - digit(i)) * 10**i + (low(i) - digit(i + 1)) * 10 ** (i + 1), 16 + i), bit((digit(i) < digit(i + 1)).cast("int")))) for i in range(9)]
-    keys = entities.select(p.alias("_p")).select(F.explode(F.array(*masked, *swapped)).alias("s")).filter("s IS NOT NULL").select("s.slip", "s.bit")
+    keys = resolved.select("phone10").distinct().select(p.alias("_p")).select(F.explode(F.array(*masked, *swapped)).alias("s")).filter("s IS NOT NULL").select("s.slip", "s.bit")
     shared = keys.groupBy("slip").agg(F.bit_or("bit").alias("bits")).filter(F.bit_count("bits") > 1)
     # the numbers that share a key, from the key and the digits or orders seen
     powers = F.array(*(F.lit(10**i).cast("bigint") for i in range(11)))
@@ -600,21 +618,23 @@ def _slip_links(entities: DataFrame, pairs: list[tuple]) -> DataFrame:
     shared = shared.select(members.alias("all"))
     text = lambda c: F.lpad(F.col(c).cast("string"), 10, "0").alias(c)
     near = shared.select(F.explode("all").alias("p"), "all").select("p", F.explode("all").alias("q")).filter("p < q").distinct().select(text("p"), text("q"))
-    a, b = (entities.select(F.col("phone10").alias(x), F.col("entity").alias(f"e{x}"), F.col("best").alias(f"b{x}"), F.col("usual").alias(f"u{x}")) for x in "pq")
-    beside = near.join(a, "p").join(b, "q").select("ep", "bp", "up", "eq", "bq", "uq")
+    near = storage.cut(near)
+    beside = near.select(F.explode(F.array("p", "q")).alias("phone10")).distinct()
+    form = F.struct("key", "n")
+    entities = storage.cut(resolved.join(beside, "phone10", "left_semi").groupBy("phone10", "entity").agg(F.collect_list(form).alias("forms")))
+    a, b = (entities.select(F.col("phone10").alias(x), F.col("entity").alias(f"e{x}"), F.col("forms").alias(f"f{x}")) for x in "pq")
+    both = near.join(a, "p").join(b, "q").select("ep", "fp", "eq", "fq")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = Shard(Given(pairs))
         for batch in batches:
             found = []
-            for ep, bp, up, eq, bq, uq in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                forms = shard.forms(list(dict.fromkeys((bp, up, bq, uq))))
-                of = {f.key: f for f in forms}
-                if any(agree(of[x], of[y]) is not None for x in {bp, up} for y in {bq, uq}):
+            for ep, fp, eq, fq in zip(*(batch[c].to_pylist() for c in ("ep", "fp", "eq", "fq")), strict=True):
+                if shard.same(fp, fq):
                     found.append((min(ep, eq), max(ep, eq)))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-    return beside.mapInArrow(compare, "a bigint, b bigint")
+    return both.mapInArrow(compare, "a bigint, b bigint")
 
 
 def variant_pairs(buyers: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:

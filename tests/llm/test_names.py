@@ -116,6 +116,12 @@ def test_slips_of_the_number(spark):
     assert groups(spark, rows) == [[1, 2, 4], [3], [5], [6]]
 
 
+def test_slips_of_the_number_by_any_form(spark):
+    """The third spelling agrees only with one that is neither its buyer's longest nor commonest."""
+    rows = [*((i, "Minula Dhorajun", P) for i in range(1, 6)), (6, "Minula Dhorjan", P), (7, "Minula Dhrjan", "5123456788"), (8, "M. Dhorjan", P), (9, "Minakshi Dhorjan", "5123456780")]
+    assert groups(spark, rows) == [[1, 2, 3, 4, 5, 6, 7, 8], [9]]
+
+
 def test_every_slip_and_no_other(spark):
     """All neighbours of numbers with repeated and leading digits, found by one buyer's name."""
     for number in ("0012334555", "9" * 10, "5120000001"):
