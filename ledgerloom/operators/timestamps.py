@@ -108,7 +108,7 @@ def parse(raw: str | None, tz: str | None) -> tuple[int | None, str | None]:
     if raw is None:
         return None, None
     text = " ".join(raw.split()).strip(" '\"")
-    if not text or len(text) > 64:
+    if not text:
         return None, None
     zone = _zone(tz) if tz else None
     try:

@@ -75,3 +75,10 @@ def test_dictionary_grows_by_new_strings_only(spark):
     run(spark, [(1, "01-01-2025", "x", "C1"), (2, "02-01-2025", "x", "C1")], d)
     assert d.entries().count() == 3 and len(d.runs()) == 2
     assert d.entries().groupBy("raw", "tz").count().filter(F.col("count") > 1).isEmpty()
+
+
+def test_long_texts_are_read_by_the_same_grammar():
+    long = "Wednesday, 31 December 2025 at 10:05:33.123456789 PM (America/New_York)"
+    assert len(long) > 64 and parse(long, "Asia/Kolkata") == parse("2026-01-01T03:05:33.123456Z", "Asia/Kolkata") != (None, None)
+    for junk in ("9" * 5000, "1" * 200, "x" * 100_000, "2025-12-31 10:05 " + "A/" * 50_000, "Mon" * 50_000):
+        assert parse(junk, "Asia/Kolkata") == (None, None)
