@@ -348,15 +348,23 @@ def ordering_plan(ops: DataFrame, server: DataFrame) -> DataFrame:
 
 
 def order_resolution(conflicts: DataFrame, server: DataFrame) -> DataFrame:
-    """``(sync_id, month, sr_no)`` by the chosen orders: ``month, sequence`` (array of sync_ids), one row for each month.
+    """``(sync_id, month, sr_no, outcome)`` by the chosen orders: ``month, sequence`` (array of sync_ids), one row for each month.
 
-    A month is left alone unless the sequence is a permutation of its live rows.
+    ``conflicts`` may have ``online``, the online order recorded with the conflict: a month whose live order is no longer that gives
+    one row, reopened, without sync_id and sr_no.  Of the others a month is left alone unless the sequence is a
+    permutation of its live rows.
     """
+    if "online" in conflicts.columns:
+        now = rank_within(server.filter(F.col("deleted_at").isNull() & F.col("sync_id").isNotNull()).dropDuplicates(["sync_id"]).join(conflicts.select("month"), "month", "left_semi").select("month", "sync_id", F.coalesce("sr_no", F.lit(0)).alias("_sr")), ["month"], [F.asc("_sr"), F.asc("sync_id")], "_now")
+        then = conflicts.select("month", F.posexplode("online").alias("_pos", "sync_id")).select("month", "sync_id", (F.col("_pos") + 1).cast("bigint").alias("_then"))
+        moved = now.join(then, ["month", "sync_id"], "full").filter(~F.col("_now").eqNullSafe(F.col("_then"))).select("month").distinct()
+        kept = order_resolution(conflicts.join(moved, "month", "left_anti").drop("online"), server)
+        return kept.unionByName(conflicts.join(moved, "month", "left_semi").select(F.lit(None).cast("string").alias("sync_id"), "month", F.lit(None).cast("bigint").alias("sr_no"), F.lit("reopened").alias("outcome")))
     chosen = conflicts.select("month", F.posexplode("sequence").alias("pos", "sync_id"))
     live = server.filter(F.col("deleted_at").isNull() & F.col("sync_id").isNotNull()).select("sync_id", "month", F.lit(True).alias("_here")).dropDuplicates(["sync_id"])
     both = chosen.withColumn("_asked", F.lit(True)).join(live, ["month", "sync_id"], "full").join(conflicts.select("month").distinct(), "month", "left_semi")
     fine = both.groupBy("month").agg(F.bool_and(F.col("_here").isNotNull() & F.col("_asked").isNotNull()).alias("ok"), (F.count("*") == F.countDistinct("sync_id")).alias("once")).filter("ok AND once").select("month")
-    return chosen.join(fine, "month", "left_semi").select("sync_id", "month", (F.col("pos") + 1).cast("bigint").alias("sr_no"))
+    return chosen.join(fine, "month", "left_semi").select("sync_id", "month", (F.col("pos") + 1).cast("bigint").alias("sr_no"), F.lit("applied").alias("outcome"))
 
 
 # Conflicts

@@ -167,6 +167,14 @@ def test_month_orders(world):
         assert R.order_resolution(spark.createDataFrame([("AUGUST_2026", bad)], "month string, sequence array<string>"), world.table()).isEmpty()
 
 
+def test_an_order_that_moved_since_is_reopened(world, spark):
+    world.server = [(s, 1, BASE | {"sr_no": n}, None) for s, n in {"sA": 1, "sB": 2, "sC": 3}.items()]
+    chosen = ["sC", "sB", "sA"]
+    for online, want in ((["sA", "sB", "sC"], {("sC", 1, "applied"), ("sB", 2, "applied"), ("sA", 3, "applied")}), (["sB", "sA", "sC"], {(None, None, "reopened")}), (["sA", "sB"], {(None, None, "reopened")})):
+        conflict = spark.createDataFrame([("AUGUST_2026", chosen, online)], "month string, sequence array<string>, online array<string>")
+        assert {(r["sync_id"], r["sr_no"], r["outcome"]) for r in R.order_resolution(conflict, world.table()).collect()} == want
+
+
 def test_resolutions(world, spark):
     rows = [(1, "a", "field", "name", "mine", "AA", "open", "m"), (2, "a", "field", "phone", "9", "old", "open", "m"), (3, "a", "invoice_collision", "invoice_no", "x", "y", "open", "m"), (4, "nobody", "field", "name", "x", "y", "open", "m"), (5, "b", "field", "name", "x", "AA", "resolved", "m"), (6, "b", "financial", "price", "7", "1000.0", "open", "m")]
     conflicts = spark.createDataFrame(rows, "id long, sync_id string, kind string, field_name string, offline_value string, online_value string, status string, month string")
