@@ -1,15 +1,17 @@
 """A table rebuilt from a feed of inserts, updates and deletes: a log-structured merge.
 
-``ChangeLog`` keeps runs of changes, each sorted by key and sequence, as Parquet in the shared
-folder.  ``append`` sorts a batch where it lies (no shuffle) and writes it as a level-0 run.
-``read`` merges all runs: the sorted runs are thinned to the newest change of each key, sent to the
-key's task, merged by sort and thinned again; tombstones then drop out.  ``compact`` does the
-same for the runs of a level once there are many of them and writes one run to the next level.  It
-keeps tombstones, as an older change may still arrive late, unless told that none will.
+``ChangeLog`` keeps runs of changes in the shared folder: Parquet, in the same number of buckets by key for all
+runs, each bucket sorted by key and holding the newest change of each key.  ``append`` thins a batch to the
+newest change of each key before and after its shuffle and writes a level-0 run.  ``read`` lays the runs' buckets
+beside one another and merges them: nothing is shuffled, as all changes of a key lie in the same bucket of every run, and
+the sort in front of the merge meets runs in order.  Tombstones then drop out.  ``compact`` does the same for the runs of a level
+once there are many of them and writes one run to the next level.  It keeps tombstones, as an older change may
+still arrive late, unless told that none will.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,39 +21,67 @@ from ledgerloom import storage
 
 
 class ChangeLog:
-    """Columns: ``key`` string, ``seq`` struct (ordered), ``tombstone`` boolean, ``value`` struct."""
+    """Columns: ``key`` string, ``seq`` struct (ordered), ``tombstone`` boolean, ``value`` struct.
 
-    def __init__(self, spark: SparkSession, path: str, fan_in: int = 8):
-        self.spark, self.path, self.fan_in = spark, path, fan_in
+    ``buckets`` is fixed by the first run; by default as many as the session has shuffle partitions then.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, fan_in: int = 8, buckets: int | None = None):
+        self.spark, self.path, self.fan_in, self._buckets = spark, path, fan_in, buckets
+        self.home = f"{path}/runs"
+
+    def _names(self) -> list[str]:
+        return [n.removeprefix("run=") for n in storage.children(self.spark, self.home) if n.startswith("run=L")]
 
     def runs(self) -> list[tuple[int, str]]:
         """(level, path) of the complete runs; those a later run has replaced don't count."""
-        names = [n for n in storage.children(self.spark, self.path) if n.startswith("L") and storage.exists(self.spark, f"{self.path}/{n}/_SUCCESS")]
+        names = [n for n in self._names() if storage.exists(self.spark, f"{self.home}/run={n}/_SUCCESS")]
         replaced = {int(m) for n in names if "-of-" in n for m in n.split("-of-")[1].split("_")}
-        return [(int(n[1:].split("-")[0]), f"{self.path}/{n}") for n in names if int(n.split("-")[1]) not in replaced]
+        return [(int(n[1:].split("-")[0]), f"{self.home}/run={n}") for n in names if int(n.split("-")[1]) not in replaced]
 
     def _next(self) -> int:
-        return 1 + max((int(n.split("-")[1]) for n in storage.children(self.spark, self.path) if n.startswith("L")), default=-1)
+        return 1 + max((int(n.split("-")[1]) for n in self._names()), default=-1)
+
+    @property
+    def buckets(self) -> int:
+        there = next(iter(self._names()), None)
+        return int(there.split("-")[2][1:]) if there else self._buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _write(self, changes: DataFrame, run: str) -> str:
+        path, name = f"{self.home}/run={run}", f"ledgerloom_run_{uuid.uuid4().hex}"
+        if not storage.exists(self.spark, f"{self.home}/_columns"):  # an empty run has no file that tells them
+            storage.put(self.spark, f"{self.home}/_columns", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in changes.schema))
+        changes.write.bucketBy(self.buckets, "key").sortBy("key").option("path", path).saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")  # the files stay
+        return path
+
+    def _merged(self, runs: Sequence[str]) -> DataFrame:
+        """The runs as partitions of one bucketed table, so that a task reads a bucket's files of all runs.  Only what
+        the catalog knows can be bucketed: the table is a name for what lies in the folder now."""
+        name = f"ledgerloom_log_{uuid.uuid4().hex}"
+        columns = storage.get(self.spark, f"{self.home}/_columns")
+        self.spark.sql(f"CREATE TABLE {name} ({columns}, run string) USING parquet PARTITIONED BY (run) CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{self.home}'")
+        self.spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+        all_runs = self.spark.table(name)
+        return self._newest(all_runs.filter(F.col("run").isin(*(r.rpartition("run=")[2] for r in runs))).drop("run"))
 
     @staticmethod
     def _newest(changes: DataFrame) -> DataFrame:
         """The newest change of each key.  The planner puts a sort and a limit of one row a key on both sides
-        of the exchange, so a key with a large share of all changes sends one row a task."""
+        of an exchange, so a key with a large share of all changes sends one row a task."""
         w = Window.partitionBy("key").orderBy(F.col("seq").desc())
         return changes.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
     def append(self, changes: DataFrame) -> str:
-        """Writes a batch as a run: each task's part is sorted by key and sequence. Nothing is shuffled."""
-        out = f"{self.path}/L0-{self._next():08d}"
-        changes.sortWithinPartitions("key", F.col("seq")).write.parquet(out)
-        return out
+        """Writes a batch as a run."""
+        return self._write(self._newest(changes), f"L0-{self._next():08d}-b{self.buckets}")
 
     def read(self, with_tombstones: bool = False) -> DataFrame:
         """The state after all changes: ``key, seq, tombstone, value``."""
         runs = [p for _, p in self.runs()]
         if not runs:
             raise ValueError(f"no runs under {self.path}")
-        state = self._newest(self.spark.read.parquet(*runs))
+        state = self._merged(runs)
         return state if with_tombstones else state.filter("NOT tombstone")
 
     def compact(self, every: bool = False, complete: bool = False) -> bool:
@@ -68,11 +98,11 @@ class ChangeLog:
             if level is None or (every and (done or len(runs) < 2)):
                 return done
             part = [p for lv, p in runs if every or lv == level]
-            merged = self._newest(self.spark.read.parquet(*part))
+            merged = self._merged(part)
             if complete and len(part) == len(runs):
                 merged = merged.filter("NOT tombstone")
-            numbers = "_".join(str(int(p.rpartition("/")[2].split("-")[1])) for p in part)
-            merged.sortWithinPartitions("key").write.parquet(f"{self.path}/L{max(lv for lv, _ in runs if every or lv == level) + 1}-{self._next():08d}-of-{numbers}")
+            numbers = "_".join(str(int(p.rpartition("run=")[2].split("-")[1])) for p in part)
+            self._write(merged, f"L{max(lv for lv, _ in runs if every or lv == level) + 1}-{self._next():08d}-b{self.buckets}-of-{numbers}")
             for p in part:
                 storage.remove(self.spark, p)
             done = True

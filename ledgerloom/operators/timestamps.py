@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 from datetime import date, datetime, timedelta, timezone
 from functools import lru_cache
+from threading import Lock
 from zoneinfo import ZoneInfo
 
 import pyarrow as pa
@@ -19,14 +20,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom import storage
 
-# Abbreviations in use in each zone, as minutes east of UTC. GMT is UTC in every zone.
-ABBREVIATIONS = {
-    "Asia/Kolkata": {"IST": 330},
-    "Asia/Dubai": {"GST": 240},
-    "Europe/London": {"BST": 60, "GMT": 0, "WET": 0},
-    "America/New_York": {"EST": -300, "EDT": -240},
-    "Australia/Sydney": {"AEST": 600, "AEDT": 660},
-}
+# Abbreviations in use where the zone's own rules have none (or not all), as minutes east of UTC. GMT is UTC
+# in every zone.
+ABBREVIATIONS = {"Asia/Dubai": {"GST": 240}, "Europe/London": {"WET": 0}}
 MONTHS = {m: i for i, m in enumerate(("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"), 1)}
 LONG_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
@@ -48,6 +44,9 @@ _DATES = [
 ]
 _WEEKDAY = re.compile(r"(?:mon|tue|tues|wed|thu|thur|thurs|fri|sat|sun)[a-z]*\.?,?\s+", re.I)
 _TIME = re.compile(r"(?P<h>\d{1,2}):(?P<mi>\d\d)(?::(?P<s>\d\d)(?:[.,](?P<f>\d{1,12}))?)?(?:\s*(?P<ap>[AaPp]\.?[Mm]\.?)(?![A-Za-z]))?|(?P<h2>\d\d)(?P<mi2>\d\d)(?P<s2>\d\d)(?:[.,](?P<f2>\d{1,12}))?")
+#: As C libraries print a time: month, day, clock, perhaps a zone, year.
+_YEAR_LAST = re.compile(rf"{_WORD}\s+(?P<d>\d{{1,2}})\s+(?P<t>\d{{1,2}}:\d\d(?::\d\d(?:[.,]\d{{1,12}})?)?)(?:\s+(?P<z>[A-Za-z+][\w+:/-]*))?\s+(?P<y>\d{{4}})")
+_BRACKETED = re.compile(r"(.*?)\s*\[([^\]]+)\]")
 _OFFSET = re.compile(r"(?:UTC|GMT)?(?P<sg>[+-])(?P<oh>\d{1,2}):?(?P<om>\d\d)?")
 _NUMBER = re.compile(r"\d+(?:\.\d+)?")
 
@@ -60,6 +59,18 @@ def _zone(name: str) -> ZoneInfo | None:
         return None
 
 
+@lru_cache(64)
+def abbreviations(tz: str) -> dict[str, int]:
+    """Minutes east of UTC of each abbreviation that a zone's clocks have gone by since 1970, the latest meaning."""
+    zone, out = _zone(tz), {}
+    if zone is not None:
+        for month in range(0, 12 * 70):
+            at = datetime(1970 + month // 12, month % 12 + 1, 1, tzinfo=zone)
+            if (name := at.tzname()) and name.isalpha():
+                out[name.upper()] = int(at.utcoffset().total_seconds()) // 60
+    return out | ABBREVIATIONS.get(tz, {})
+
+
 def _micros(d: timedelta) -> int:
     return (d.days * 86_400 + d.seconds) * 1_000_000 + d.microseconds
 
@@ -115,6 +126,8 @@ def parse(raw: str | None, tz: str | None) -> tuple[int | None, str | None]:
         if _NUMBER.fullmatch(text) and not (len(text) == 8 and text.isdigit()):
             return _number(text, zone)
         text = _WEEKDAY.sub("", text, count=1) if _WEEKDAY.match(text) else text
+        if c := _YEAR_LAST.fullmatch(text):
+            text = f"{c['d']} {c['mon']} {c['y']} {c['t']} {c['z'] or ''}".rstrip()
         for shape in _DATES:
             m = shape.match(text)
             if m:
@@ -148,6 +161,8 @@ def parse(raw: str | None, tz: str | None) -> tuple[int | None, str | None]:
                 h, extra = 0, 1
             local = datetime(day.year, day.month, day.day, h, mi, min(s, 59) if s == 60 else s, int((f + "000000")[:6])) + timedelta(days=extra, seconds=1 if s == 60 else 0)
             rest = rest[t.end() :].strip(" ()")
+            if named := _BRACKETED.fullmatch(rest):  # an offset stands before its zone's name
+                rest = named[1] or named[2]
         if not rest:
             return (None if zone is None else _instant(local, zone)), local.date().isoformat()
         if rest in ("Z", "z", "UTC", "GMT"):
@@ -159,7 +174,7 @@ def parse(raw: str | None, tz: str | None) -> tuple[int | None, str | None]:
             micros = _micros(local - EPOCH) - (1 if o["sg"] == "+" else -1) * minutes * 60_000_000
         elif "/" in rest and (named := _zone(rest)):
             micros = _instant(local, named)
-        elif (minutes := ABBREVIATIONS.get(tz or "", {}).get(rest.upper())) is not None:
+        elif tz and (minutes := abbreviations(tz).get(rest.upper())) is not None:
             micros = _micros(local - EPOCH) - minutes * 60_000_000
         else:
             return None, None
@@ -180,6 +195,7 @@ class TimestampDictionary:
     """Distinct ``(raw, tz)`` pairs and what they mean, kept as runs of Parquet under ``path``."""
 
     SCHEMA = "raw string, tz string, instant string, day string"
+    _lock = Lock()
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -192,13 +208,19 @@ class TimestampDictionary:
         return self.spark.read.schema(self.SCHEMA).parquet(*runs) if runs else self.spark.createDataFrame([], self.SCHEMA)
 
     def extend(self, pairs: DataFrame) -> None:
-        """Parses those of the distinct pairs ``(raw, tz)`` that aren't held yet and appends them as a run.
+        """Parses those of the distinct pairs ``(raw, tz)`` that aren't held yet and appends them as a run; none if all are.
 
-        A run that was cut short has no success mark and doesn't count.
+        A run that was cut short has no success mark and doesn't count.  Calls of one driver follow one another; drivers
+        that run at once need dictionaries of their own.
         """
-        new = pairs.select("raw", "tz")
+        with self._lock:
+            self._extend(pairs.select("raw", "tz"))
+
+    def _extend(self, new: DataFrame) -> None:
         if self.runs():
             new = new.join(self.entries().select("raw", "tz"), ["raw", "tz"], "left_anti")
+            if new.isEmpty():
+                return
         runs = storage.children(self.spark, self.path)
         new.mapInArrow(_parse_batches, self.SCHEMA).write.parquet(f"{self.path}/run-{len(runs):06d}")
 

@@ -19,13 +19,24 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    dictionary = timestamps.TimestampDictionary(spark, storage.scratch(spark, "timestamps"))
+    """The dictionary stays for as long as the application runs: a later call parses only texts not met before."""
+    dictionary = timestamps.TimestampDictionary(spark, storage.kept(spark, "timestamps"))
     return timestamps.normalise(table(spark, folder, "records"), table(spark, folder, "counters"), {"bid_date": "day", "created_at": "instant"}, dictionary)
 
 
+#: Deliveries arrive in so many batches by id, each a run; so many runs of a level are compacted.
+BATCHES, FAN_IN = 3, 2
+
+
 def _replayed(spark: SparkSession, folder: str) -> DataFrame:
-    log = changelog.ChangeLog(spark, storage.scratch(spark, "changes"))
-    log.append(changelog.outbox_changes(table(spark, folder, "outbox")))
+    """The outbox as it arrived, batch after batch: runs appended, compacted as they pile up, the rest merged on read."""
+    log, outbox = changelog.ChangeLog(spark, storage.scratch(spark, "changes"), FAN_IN), table(spark, folder, "outbox")
+    low, high = outbox.agg(F.min("id"), F.max("id")).first()
+    step = 0 if low is None else (high - low) // BATCHES + 1
+    for n in range(BATCHES if step else 1):
+        batch = F.col("id").between(low + n * step, low + (n + 1) * step - 1) if step else F.lit(False)
+        log.append(changelog.outbox_changes(outbox.filter(batch | F.col("id").isNull() if n == 0 else batch)))
+        log.compact()
     return log.read()
 
 

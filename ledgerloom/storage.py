@@ -2,7 +2,7 @@
 
 Executors may be lost at any time, so lineage is cut only by reliable checkpoints or by tables
 written under this folder.  A machine-local folder is used only where the setting is absent
-(tests, a laptop).
+and the master is this machine (tests, a laptop); on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(configured)
         return configured.rstrip("/")
     if not current:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -36,6 +38,18 @@ def scratch(spark: SparkSession, what: str) -> str:
     return path
 
 
+def kept(spark: SparkSession, what: str) -> str:
+    """The path of this name that all calls of this application share; removed like ``scratch``."""
+    path = f"{shared_dir(spark)}/ledgerloom/{what}-{spark.sparkContext.applicationId}"
+    if path not in _kept:
+        _kept.add(path)
+        atexit.register(_forget, spark, path)
+    return path
+
+
+_kept: set[str] = set()
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):
         remove(spark, path)
@@ -63,3 +77,23 @@ def children(spark: SparkSession, path: str) -> list[str]:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
     return sorted(x.getPath().getName() for x in fs.listStatus(jpath)) if fs.exists(jpath) else []
+
+
+def put(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small text file on whichever file system holds the path."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).create(jpath, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def get(spark: SparkSession, path: str) -> str:
+    """A small text file, as ``put`` has written it."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    source = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).open(jpath)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()

@@ -67,6 +67,7 @@ def test_runs_merge_and_compact_to_the_same_state(spark):
     for i in range(0, len(ops), 150):
         log.append(outbox_changes(table(spark, ops[i : i + 150])))
         log.compact()
+    assert log.read().count() == len(want)
     assert len(log.runs()) <= 3 and max(level for level, _ in log.runs()) >= 1
     assert final(log) == want
     assert log.compact(every=True) and len(log.runs()) == 1
@@ -92,3 +93,14 @@ def test_rebuilt_rows_have_every_field(spark, tmp_path):
     deliveries = [("s", f"o{n}", "upsert", json.dumps({"payload": row | {"remarks": f"r{n}"}, "local_row_rev": n}), 1) for n in (2, 1)]
     spark.createDataFrame(deliveries, "sync_id string, op_id string, op_type string, payload_json string, base_rev long").write.parquet(f"{tmp_path}/outbox.parquet")
     assert [r.asDict() for r in record_queries.p5_rows(spark, str(tmp_path)).collect()] == [{"sync_id": "s"} | row | {"remarks": "r2"}]
+
+
+def test_runs_are_merged_without_a_shuffle(spark):
+    log = ChangeLog(spark, storage.scratch(spark, "c"), buckets=3)
+    for rev in (1, 2, 3):
+        log.append(outbox_changes(table(spark, [(rev, f"o{rev}", "a", "upsert", payload(rev), rev), (9, f"p{rev}", f"b{rev}", "upsert", payload(rev), rev)])))
+    state = log.read()
+    assert "Exchange" not in state._jdf.queryExecution().executedPlan().toString()
+    assert final(log) == {"a": "o3", "b1": "p1", "b2": "p2", "b3": "p3"} and log.read().count() == 4
+    again = ChangeLog(spark, log.path)
+    assert final(again) == final(log) and again.buckets == 3

@@ -82,3 +82,25 @@ def test_long_texts_are_read_by_the_same_grammar():
     assert len(long) > 64 and parse(long, "Asia/Kolkata") == parse("2026-01-01T03:05:33.123456Z", "Asia/Kolkata") != (None, None)
     for junk in ("9" * 5000, "1" * 200, "x" * 100_000, "2025-12-31 10:05 " + "A/" * 50_000, "Mon" * 50_000):
         assert parse(junk, "Asia/Kolkata") == (None, None)
+
+
+@pytest.mark.parametrize(
+    ("raw", "tz", "instant"),
+    [
+        ("2025-07-01 10:00 CEST", "Europe/Paris", "2025-07-01T08:00:00.000000Z"), ("2025-01-01 10:00 CET", "Europe/Paris", "2025-01-01T09:00:00.000000Z"), ("2025-07-01 10:00 CEST", "Asia/Kolkata", None), ("2025-07-01 10:00 gst", "Asia/Dubai", "2025-07-01T06:00:00.000000Z"),
+        ("2025-07-01T10:00:00+05:30[Asia/Kolkata]", "Asia/Dubai", "2025-07-01T04:30:00.000000Z"), ("2025-07-01T10:00:00[Asia/Kolkata]", "Asia/Dubai", "2025-07-01T04:30:00.000000Z"),
+        ("Tue Jul  1 10:00:00 IST 2025", "Asia/Kolkata", "2025-07-01T04:30:00.000000Z"), ("Tue Jul  1 10:00:00 2025", "UTC", "2025-07-01T10:00:00.000000Z"), ("Jul 1 10:00:00 2025 x", "UTC", None),
+    ],
+)
+def test_zones_own_abbreviations_and_printed_times(raw, tz, instant):
+    assert utc_text(parse(raw, tz)[0]) == instant
+
+
+def test_a_second_call_parses_nothing(spark):
+    d = TimestampDictionary(spark, storage.scratch(spark, "t"))
+    rows = spark.createDataFrame([(1, "2026-01-31", "x"), (2, "31/01/2026", "x")], "id long, raw string, counter_id string")
+    zones = spark.createDataFrame([("x", "Asia/Kolkata")], "counter_id string, tz string")
+    more = rows.unionByName(spark.createDataFrame([(3, "1 Feb 2026", "x")], rows.schema))
+    for table, runs in ((rows, 1), (rows, 1), (more, 2), (more, 2)):
+        assert normalise(table, zones, {"raw": "day"}, d).count() == table.count() and len(d.runs()) == runs
+    assert d.entries().count() == 3
