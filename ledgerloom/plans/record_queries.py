@@ -29,13 +29,17 @@ BATCHES, FAN_IN = 3, 2
 
 
 def _replayed(spark: SparkSession, folder: str) -> DataFrame:
-    """The outbox as it arrived, batch after batch: runs appended, compacted as they pile up, the rest merged on read."""
+    """The outbox as it arrived (all at once where no ids tell), batch after batch: runs appended, compacted as they pile up,
+    the rest merged on read."""
     log, outbox = changelog.ChangeLog(spark, storage.scratch(spark, "changes"), FAN_IN), table(spark, folder, "outbox")
-    low, high = outbox.agg(F.min("id"), F.max("id")).first()
-    step = 0 if low is None else (high - low) // BATCHES + 1
-    for n in range(BATCHES if step else 1):
-        batch = F.col("id").between(low + n * step, low + (n + 1) * step - 1) if step else F.lit(False)
-        log.append(changelog.outbox_changes(outbox.filter(batch | F.col("id").isNull() if n == 0 else batch)))
+    low, high = outbox.agg(F.min("id"), F.max("id")).first() if "id" in outbox.columns else (None, None)
+    batches = [outbox]
+    if low is not None:
+        step = (high - low) // BATCHES + 1
+        bounds = [F.col("id").between(low + n * step, low + (n + 1) * step - 1) for n in range(BATCHES)]
+        batches = [outbox.filter(b | F.col("id").isNull() if n == 0 else b) for n, b in enumerate(bounds)]
+    for b in batches:
+        log.append(changelog.outbox_changes(b))
         log.compact()
     return log.read()
 
