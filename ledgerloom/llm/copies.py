@@ -9,6 +9,7 @@ each fits or holds one string only.  Each bucket's strings go into a trie whose
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,8 +20,8 @@ from ledgerloom import storage
 
 SEPARATOR = "\x1f"
 BUCKET_ENTRIES = 50_000
-#: Buckets that may be split at one level; their prefixes are held by the driver.
-MOST_SPLITS = 4096
+#: Prefixes of one level that are compared as literals; more are joined as a table.
+MOST_LITERALS = 4096
 #: Bytes of the first prefixes; each round looks at twice as many.
 FIRST = 2
 
@@ -117,31 +118,34 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-def radix_buckets(entries: DataFrame, text: str, bucket_entries: int = BUCKET_ENTRIES, first: int = FIRST) -> Column:
-    """The bucket of each entry: its shortest prefix of ``first`` bytes, twice as many, and so on, that few enough entries share.
+def radix_buckets(entries: DataFrame, text: str, bucket_entries: int = BUCKET_ENTRIES, first: int = FIRST, literals: int = MOST_LITERALS) -> DataFrame:
+    """``entries`` with the ``_bucket`` of each: its shortest prefix of ``first`` bytes, twice as many, and so on, that at most ``bucket_entries`` share.
 
-    Each round counts the prefixes below the buckets that were too large.  These are disjoint and have more than
-    ``max(bucket_entries, entries / MOST_SPLITS)`` entries each, so at most MOST_SPLITS come to the driver.  A
+    Each round counts the prefixes of what lay in too large buckets before.  Those that are still too large are
+    compared as literals where they are few, else joined as a table, so their number has no bound.  A
     string that ends within its prefix can't be split further and needn't be: its bucket holds it alone.  As prefixes
     double, strings that share thousands of bytes take a few rounds more.
     """
-    most = max(bucket_entries, entries.count() // MOST_SPLITS)
-    t, depth = F.encode(F.col(text), "UTF-8"), first
-    levels: list[tuple[int, list[bytes]]] = []
-    within = F.lit(True)
+    t, depth, rest = F.encode(F.col(text), "UTF-8"), first, entries
+    settled: list[DataFrame] = []
     while True:
         prefix = F.substring(t, 1, depth)
-        split = [bytes(r["p"]) for r in entries.filter(within & (F.octet_length(t) > depth)).groupBy(prefix.alias("p")).count().filter(F.col("count") > most).select("p").collect()]
-        if not split:
+        large = storage.cut(rest.filter(F.octet_length(t) > depth).groupBy(prefix.alias("_p")).count().filter(F.col("count") > bucket_entries).select("_p"))
+        n = large.count()
+        if not n:
             break
-        levels.append((depth, split))
-        within = F.hex(prefix).isin([p.hex().upper() for p in split])
+        if n <= literals:
+            marked = rest.withColumn("_large", F.hex(prefix).isin([bytes(r["_p"]).hex().upper() for r in large.collect()]))
+        else:
+            marked = rest.withColumn("_p", prefix).join(large.withColumn("_large", F.lit(True)), "_p", "left").drop("_p")
+        split = F.coalesce("_large", F.lit(False)) & (F.octet_length(t) > depth)
+        settled.append(marked.filter(~split).drop("_large").withColumn("_bucket", prefix))
+        rest = marked.filter(split).drop("_large")
+        if n > literals:
+            rest = storage.cut(rest)
         depth *= 2
-    bucket = F.substring(t, 1, depth)
-    for d, split in reversed(levels):
-        own = F.substring(t, 1, d)
-        bucket = F.when(~F.hex(own).isin([p.hex().upper() for p in split]) | (F.octet_length(t) <= d), own).otherwise(bucket)
-    return bucket
+    out = rest.withColumn("_bucket", F.substring(t, 1, depth))
+    return reduce(DataFrame.unionByName, settled, out)
 
 
 def formatting_copies(records: DataFrame, fields: list[str], key: str = "id", least: int = 1, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
@@ -154,7 +158,7 @@ def formatting_copies(records: DataFrame, fields: list[str], key: str = "id", le
     """
     source = records.select(canonical(fields).alias("_text"), F.col(key).cast("bigint").alias("_id"))
     entries = storage.cut(source.mapInArrow(_combine, "_text string, _first bigint, _copies bigint"))
-    bucketed = entries.withColumn("_bucket", radix_buckets(entries, "_text", bucket_entries))
+    bucketed = radix_buckets(entries, "_text", bucket_entries)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, at = CountingTrie(), None

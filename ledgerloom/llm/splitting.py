@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.tokens import VOCABULARY, ForcedBoundaryEncoder, encoder
+from ledgerloom.llm.tokens import VOCABULARY, ForcedBoundaryEncoder, encoder, ship
 
 LIMIT, OVERLAP = 1024, 64
 
@@ -102,8 +102,11 @@ class Splitter:
             legible = [k for k in can if whole[places[k] - self.overlap]]
             chosen = next(((int(places[k]), units[k][1]) for k in (*tidy, *legible) if fits(int(places[k]))), None)
             if chosen is None:
-                some = [t for t in range(min(start + self.limit, n - 1), start + self.overlap, -1) if whole[t] and whole[t - self.overlap]]
-                end = next((t for t in some if fits(t)), some[0] if some else min(start + self.limit, n - 1))
+                # between characters at both ends of the overlap; where these never meet (characters of three tokens), at its
+                # end alone; then anywhere.  The shortest piece that goes on has overlap + 1 tokens.
+                every = range(min(start + self.limit, n - 1), start + self.overlap, -1)
+                pools = ([t for t in every if whole[t] and whole[t - self.overlap]], [t for t in every if whole[t]], every)
+                end = next((t for pool in pools for t in pool if fits(t)), every[-1])
                 chosen = (end, "character")
             out.append((start, chosen[0], chosen[1], text_of(start, chosen[0])))
             start = chosen[0] - self.overlap
@@ -129,6 +132,7 @@ def split_long(texts: DataFrame, key: str = "doc_id", text: str = "text", limit:
                         [key, "piece", "token_from", "token_to", "boundary", "text"],
                     )
 
+    ship(texts.sparkSession, vocabulary)
     # a token has at least one byte: shorter texts can't exceed the limit
     source = texts.filter(F.octet_length(text) > limit).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     return source.mapInArrow(run, f"`{key}` {texts.schema[key].dataType.simpleString()}, piece int, token_from int, token_to int, boundary string, text string")

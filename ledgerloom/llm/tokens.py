@@ -9,6 +9,7 @@ before merging undisturbed, which ``_pattern_safe`` decides from the characters
 from __future__ import annotations
 
 import base64
+import os
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -16,14 +17,16 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where the vocabulary lies on every machine, and the pattern that splits text before its merges.
+#: Where the vocabulary lies on the driver's machine, and the pattern that splits text before its merges.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-FRAGMENT = 4096
+#: Bytes after which a fragment ends at the next certain cut.
+FRAGMENT = 256
 #: White space of the pattern, which knows the Unicode property and none of the separators 1c to 1f.
 SPACES = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
 
@@ -75,9 +78,7 @@ class ForcedBoundaryEncoder:
 
     def fragments(self, text: str, size: int = FRAGMENT) -> Iterator[str]:
         """The text in pieces of some ``size`` bytes, cut at certain places only; more where there are none."""
-        if len(text) * 4 <= size or len(data := text.encode("utf-8", "replace")) <= size:
-            yield text
-            return
+        data = text.encode("utf-8", "replace")
         cuts, start = self.certain_cuts(data), 0
         k = 0
         while len(data) - start > size:
@@ -108,8 +109,18 @@ class ForcedBoundaryEncoder:
 
 @lru_cache(2)
 def encoder(path: str) -> ForcedBoundaryEncoder:
-    """Read once in each worker process."""
-    return ForcedBoundaryEncoder(path)
+    """Read once in each worker process, from the copy sent with the job."""
+    try:
+        sent = SparkFiles.get(os.path.basename(path))
+    except AssertionError:  # neither in a worker nor with a context
+        sent = path
+    return ForcedBoundaryEncoder(sent if os.path.exists(sent) else path)
+
+
+def ship(spark: SparkSession, path: str) -> None:
+    """Sends a vocabulary that lies on the driver's machine to the executors, once for each application."""
+    if os.path.exists(path) and not any(f.rpartition("/")[2] == os.path.basename(path) for f in spark.sparkContext.listFiles):
+        spark.sparkContext.addFile(path)
 
 
 def token_ids(texts: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, fragment: int = FRAGMENT) -> DataFrame:
@@ -130,6 +141,7 @@ def token_ids(texts: DataFrame, key: str = "doc_id", text: str = "text", vocabul
                 values = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
                 yield pa.RecordBatch.from_arrays([part["_key"], pa.ListArray.from_arrays(pa.array(offsets), values)], [key, "ids"])
 
+    ship(texts.sparkSession, vocabulary)
     source = texts.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     return source.mapInArrow(run, f"`{key}` {texts.schema[key].dataType.simpleString()}, ids array<int>")
 
@@ -143,5 +155,6 @@ def token_counts(texts: DataFrame, key: str = "doc_id", text: str = "text", voca
             sizes = [len(e.encode(t)) for t in b["_text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["_key"], pa.array(sizes, pa.int32())], [key, "tokens"])
 
+    ship(texts.sparkSession, vocabulary)
     source = texts.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     return source.mapInArrow(run, f"`{key}` {texts.schema[key].dataType.simpleString()}, tokens int")

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerloom.llm.copies import CountingTrie, formatting_copies
+from ledgerloom.llm.copies import CountingTrie, formatting_copies, radix_buckets
 
 SCHEMA = "id long, invoice_no string, serial_no string, bid string, first_id string, copies string, _text string"
 FIELDS = ["invoice_no", "serial_no", "bid"]
@@ -49,3 +49,17 @@ def test_trie_counts(texts, burst):
         trie.add(t, i, 1)
         want[t] += 1
     assert sorted(trie.terminals()) == sorted((texts.index(t), n) for t, n in want.items())
+
+
+@pytest.mark.parametrize("literals", [0, 2, 4096])
+def test_no_bucket_of_several_strings_is_larger_than_its_limit(spark, literals):
+    """However many prefixes must be split, and whether they are literals or a table."""
+    r = random.Random(7)
+    texts = sorted({"".join(r.choices("ab", k=r.randrange(0, 9))) for _ in range(400)})
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = radix_buckets(rows, "t", 3, literals=literals).collect()
+    assert sorted(x["t"] for x in got) == texts and all(x["t"].encode().startswith(bytes(x["_bucket"])) for x in got)
+    sizes = defaultdict(list)
+    for x in got:
+        sizes[bytes(x["_bucket"])].append(x["t"])
+    assert all(len(v) <= 3 for v in sizes.values())

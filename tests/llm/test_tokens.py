@@ -157,3 +157,17 @@ def test_split_rows(spark):
     rows = split_long(df).collect()
     assert {r["doc_id"] for r in rows} == {4} and sum(r["piece"] == 0 for r in rows) == 2
     assert split_long(df.limit(0)).count() == 0
+
+
+def test_characters_of_three_tokens(plain):
+    """Whole characters at both ends of an overlap never meet: pieces still stay within the limit and cover all."""
+    text = "\u9f98\u9f99\u9f9a\u9f9b" * 700
+    found = Splitter(encoder(VOCABULARY)).pieces(text)
+    assert found[0][0] == 0 and found[-1][1] == len(plain(text)) and all(b[0] == a[1] - 64 for a, b in zip(found, found[1:], strict=False))
+    assert all(len(plain(p[3])) <= 1024 for p in found)
+
+
+def test_short_texts_are_cut_at_certain_places_too(plain):
+    text = "Delivery order 25 of Minula, 14,500.00 paid; balance nil.\n" * 8
+    e = encoder(VOCABULARY)
+    assert len(list(e.fragments(text))) > 1 and e.encode(text).tolist() == plain(text)
