@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator, Sequence
-from datetime import date
+from collections.abc import Sequence
+from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +13,8 @@ from ledgerloom.functions import values as V
 from ledgerloom.operators import merge as M
 from ledgerloom.operators.changelog import whole_object
 from ledgerloom.operators.ranking import rank_within
-from ledgerloom.schema import BUSINESS_FIELDS, FIELD_TYPES, FINANCIAL_FIELDS, MONTHS, UNMERGED_FIELDS
+from ledgerloom.operators.scan import HOT_ROWS, last_before
+from ledgerloom.schema import BUSINESS_FIELDS, FIELD_TYPES, UNMERGED_FIELDS
 
 # States of an op, kinds of conflict that hold a row back, choices of a resolution.
 ACTIVE = ("pending", "in_flight", "blocked")
@@ -102,221 +101,215 @@ def open_conflicts(conflicts: DataFrame, status: str = "open") -> DataFrame:
 # Apply
 
 
-_WS = re.compile(r"\s+")
-
-
-def _text(v: object) -> str:
-    return "" if v is None else _WS.sub(" ", str(v)).strip().upper()
-
-
-def _num(v: object) -> float | None:
-    s = "" if v is None else str(v).replace(",", "").strip()
-    try:
-        return round(float(s), 2)
-    except ValueError:
-        return None
-
-
-def _day(v: object) -> str:
-    s = "" if v is None else str(v).strip()
-    for shape, at in ((r"(\d{1,2})-(\d{1,2})-(\d{4})", (3, 2, 1)), (r"(\d{1,2})/(\d{1,2})/(\d{4})", (3, 2, 1)), (r"(\d{4})-(\d{1,2})-(\d{1,2})", (1, 2, 3))):
-        if m := re.fullmatch(shape, s[:10]):
-            try:
-                return date(*(int(m[i]) for i in at)).isoformat()
-            except ValueError:
-                return _text(v)
-    return _text(v)
-
-
-def same_value(field: str, a: object, b: object) -> bool:
-    """As ``merge.values_equal``, for one pair."""
-    if field in FINANCIAL_FIELDS:
-        na, nb = _num(a), _num(b)
-        return (a in (None, "") and b in (None, "")) or _text(a) == _text(b) if na is None and nb is None else na == nb
-    return _day(a) == _day(b) if field == "bid_date" else _text(a) == _text(b)
-
-
-class KeyState:
-    """One row's state while its ops are applied in order."""
-
-    def __init__(self, fields: Sequence[str], row: dict | None, deleted: str | None, frozen: bool):
-        self.fields, self.row, self.deleted, self.frozen, self.changed = fields, row, deleted, frozen, False
-        self.done: set[str] = set()  # op_ids applied so far
-
-    def _differ(self, a: dict, b: dict) -> bool:
-        return any(not same_value(f, a.get(f), b.get(f)) for f in self.fields)
-
-    def _conflict(self, *found: tuple[str, str]) -> tuple[str, str, list[tuple[str, str]]]:
-        self.frozen = True
-        return "conflict", "", list(found)
-
-    def apply(self, op: dict) -> tuple[str, str, list[tuple[str, str]]]:
-        """(result, reason, [(kind, field)]): what one op does; sets the row's new state."""
-        if op["stored"]:
-            return op["stored"], "replayed", []
-        if not op["op_id"]:
-            return "error", "op without id", []
-        if op["op_id"] in self.done:
-            return "applied", "replayed", []
-        result = self._apply(op)
-        if result[0] == "applied":
-            self.done.add(op["op_id"])
-        return result
-
-    def _apply(self, op: dict) -> tuple[str, str, list[tuple[str, str]]]:
-        if self.frozen:
-            return "conflict", "open conflict", []
-        payload, base = op["payload"] or {}, op["base"]
-        if op["op_type"] == "delete":
-            if self.row is None:
-                return "error", "delete of an unknown row", []
-            if self.deleted:
-                return "noop", "already deleted", []
-            if base is not None and self._differ(base, self.row):
-                return self._conflict(("delete_edit", "deleted_at"))
-            self.deleted, self.changed = payload.get("deleted_at") or op["now"], True
-            return "applied", "", []
-        base = base or {}
-        if self.row is None:
-            if op["base_rev"] and any(base.get(f) is not None for f in self.fields):
-                return "error", "new row with a base", []
-            self.row = {f: payload.get(f) for f in self.fields}
-            self.row["month"] = self._month(payload.get("bid_date")) or payload.get("month")
-            self.deleted, self.changed = None, True
-            return "applied", "", []
-        off, on, resolved = payload, self.row, {}
-        found = []
-        for f in self.fields:
-            if f in UNMERGED_FIELDS:
-                continue
-            action = self._action(f, base, off, on)
-            if action == "conflict":
-                found.append((M.conflict_kind(f), f))
-            else:
-                resolved[f] = (on if action == "use_online" else base if action == "unchanged" else off).get(f)
-        if found:
-            return self._conflict(*sorted(found, key=lambda x: x[1]))
-        gone = off.get("deleted_at")
-        if self.deleted and not gone and self._differ(base, off):
-            return self._conflict(("delete_edit", "deleted_at"))
-        if base.get("deleted_at") and not (gone and self.deleted):
-            return self._conflict(("delete_edit", "deleted_at"))
-        for f, kind in (("invoice_no", "field"), ("sr_no", "sr_ordering")):
-            if f in self.fields:
-                action = self._action(f, base, off, on)
-                if action == "conflict":
-                    return self._conflict((kind, f))
-                resolved[f] = (off if action == "use_offline" else on).get(f)
-        resolved["month"] = self._month(resolved.get("bid_date")) or off.get("month") or on.get("month") or base.get("month")
-        self.row = {f: resolved.get(f) for f in self.fields}
-        self.deleted, self.changed = gone or self.deleted, True
-        return "applied", "", []
-
-    @staticmethod
-    def _month(text: object) -> str:
-        try:
-            d = date.fromisoformat(_day(text))
-        except ValueError:
-            return ""
-        return f"{MONTHS[d.month - 1]}_{d.year:04d}"
-
-    @staticmethod
-    def _action(f: str, base: dict, off: dict, on: dict) -> str:
-        a, b = same_value(f, base.get(f), off.get(f)), same_value(f, base.get(f), on.get(f))
-        if a and b:
-            return "unchanged"
-        return "use_offline" if b else "use_online" if a else "converged" if same_value(f, off.get(f), on.get(f)) else "conflict"
-
-
-def apply_ops(ops: DataFrame, server: DataFrame, applied: DataFrame, conflicts: DataFrame, fields: Sequence[str], now: str, first_rev: int, stop_at_error: bool = False) -> tuple[DataFrame, DataFrame]:
+def newest(server: DataFrame) -> DataFrame:
+    """Each sync_id's row of the highest revision, of several the last by id."""
+    cols = [c for c in server.columns if c != "sync_id"]
+    by = F.struct(*(c for c in ("server_rev", "id") if c in cols))
+    return server.filter(F.col("sync_id").isNotNull()).groupBy("sync_id").agg(F.max_by(F.struct(*cols), by).alias("_r")).select("sync_id", *(F.col(f"_r.{c}") for c in cols))
+
+
+# Places of the server's rows and of open conflicts before all ops.
+_SERVER, _HELD = -(2**60), -(2**61)
+
+
+def apply_ops(ops: DataFrame, server: DataFrame, applied: DataFrame, conflicts: DataFrame, fields: Sequence[str], now: str, first_rev: int, stop_at_error: bool = False, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """``(results, changed)``: the result of each op, and the rows that ops changed, in their last state.
 
     results: ``id, op_id, sync_id, op_type, result, reason, conflicts, server_rev_after``; changed: ``sync_id, row,
-    deleted_at, server_rev``.  An op already in ``applied`` (by op_id) gives its stored result and does
-    nothing; so does a later delivery of one applied here, with the revision of the first.  Conflicts, errors and no-ops aren't
-    stored, so an op delivered again after one is tried again.  Ops of a row are applied in order of id by one task that holds one row's state at a time, so the length of a
-    row's history doesn't matter.  A conflict holds back all later ops of its row, as one open before does.
-    Revisions follow ``first_rev`` in order of id over all applied ops.  ``stop_at_error``: nothing from the first op in error
-    on is processed.
+    deleted_at, server_rev``.  Ops are applied in order of id.  A row's state before an op is, field by field, what the
+    last op before it that edited the field has set: a scan, whose chunks spread a row with very many ops over tasks.  It holds up to the
+    row's first conflict, and after this one, as after one open before, all ops of the row are held back.
+
+    An op already in ``applied`` (by op_id) gives its stored result and does nothing; so does a later delivery of one applied here, with
+    the revision of the first.  Conflicts, errors and no-ops aren't stored, so an op delivered again after one is
+    tried again.  Ops that would order a month's rows otherwise than the server meanwhile has are parked as conflicts, the first of
+    them with the month's one ordering conflict.  An op_type that is neither upsert nor delete is an error.  Revisions follow ``first_rev``
+    in order of id over all applied ops.  ``stop_at_error``: nothing from the first op in error on is processed.
     """
-    stored = applied.groupBy("op_id").agg(F.min_by("result", "id").alias("stored"), F.min_by("server_rev_after", "id").alias("stored_rev"))
-    held = conflicts.filter((F.col("status") == "open") & ~F.col("kind").isin(*ADVISORY_KINDS)).select("sync_id").distinct().withColumn("frozen", F.lit(True))
-    side = "struct<" + ", ".join(f"{f}: {FIELD_TYPES[f]}" for f in fields) + ", deleted_at: string>"
-    todo = ops.join(stored, "op_id", "left").select("sync_id", F.lit(1).alias("kind"), "id", "op_id", "op_type", "base_rev", "stored", "stored_rev", _as(ops, "payload", fields).cast(side).alias("payload"), _as(ops, "base", fields).cast(side).alias("base"))
-    wanted = todo.select("sync_id").distinct()
-    deleted = F.col("deleted_at") if "deleted_at" in server.columns else F.lit(None).cast("string")
-    rows = server.dropDuplicates(["sync_id"]).join(wanted, "sync_id", "left_semi").select("sync_id", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("id"), *(F.lit(None).cast(t).alias(c) for c, t in (("op_id", "string"), ("op_type", "string"), ("base_rev", "bigint"), ("stored", "string"), ("stored_rev", "bigint"))), F.struct(*(F.col(f).cast(FIELD_TYPES[f]).alias(f) for f in fields), deleted.alias("deleted_at")).alias("payload"), F.lit(None).cast(side).alias("base"))
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, state, prior = None, KeyState(fields, None, None, False), False
-
-        def ended() -> list[tuple]:
-            return [(True, at, None, None, None, None, None, [], None, state.row, state.deleted)] if state.changed else []
-
-        for b in batches:
-            out: list[tuple] = []
-            for r in b.to_pylist():
-                if r["sync_id"] != at:
-                    out += ended()
-                    at, prior = r["sync_id"], False
-                    state = KeyState(fields, None, None, bool(r["frozen"]))
-                if r["kind"] == 0:
-                    row = dict(r["payload"])
-                    state.deleted, state.row, prior = row.pop("deleted_at"), row, True
-                    continue
-                result, reason, found = state.apply(r | {"now": now})
-                out.append((False, at, r["id"], r["op_id"], r["op_type"], result, reason, [{"kind": k, "field": f} for k, f in found], r["stored_rev"] if reason == "replayed" else None, None, None))
-            yield _batch(out, schema)
-        yield _batch(ended(), schema)
-
-    body = "struct<" + ", ".join(f"{f}: {FIELD_TYPES[f]}" for f in fields) + ">"
-    ddl = f"is_row boolean, sync_id string, id bigint, op_id string, op_type string, result string, reason string, conflicts array<struct<kind: string, field: string>>, server_rev_after bigint, row {body}, deleted_at string"
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    schema = to_arrow_schema(_parse_datatype_string(ddl))
-
-    def once(todo: DataFrame) -> DataFrame:
-        both = rows.unionByName(todo).join(held, "sync_id", "left")
-        return storage.cut(both.repartition("sync_id").sortWithinPartitions("sync_id", "kind", "id").mapInArrow(fold, ddl))
-
-    # op_ids delivered for more than one row: which delivery is applied first only shows when the rows are folded
-    shared = storage.cut(todo.filter("stored IS NULL AND op_id <> ''").groupBy("op_id").agg(F.min("sync_id").alias("_a"), F.max("sync_id").alias("_b")).filter("_a <> _b").select("op_id"))
-    alone = shared.isEmpty()
-
-    def run(todo: DataFrame) -> DataFrame:
-        """The fold; where rows share op_ids again and again, each time with the first applied deliveries of the time
-        before stored for later ones, until they stay the same.  Each time at least one more op in order of id is right."""
-        folded, before = once(todo), None
-        while not alone:
-            first = storage.cut(folded.filter("NOT is_row AND result = 'applied' AND reason <> 'replayed'").join(shared, "op_id", "left_semi").groupBy("op_id").agg(F.min("id").alias("_first")))
-            if before is not None and first.exceptAll(before).isEmpty() and before.exceptAll(first).isEmpty():
-                break
-            known = F.when(F.col("id") > F.col("_first"), F.lit("applied"))
-            folded, before = once(todo.join(first, "op_id", "left").withColumn("stored", F.coalesce("stored", known)).drop("_first")), first
-        return folded
-
-    folded = run(todo)
+    engine = _Engine(ops, server, applied, conflicts, fields, now, hot_rows)
+    final = engine.settle(engine.todo)
     if stop_at_error:
-        first = folded.filter("result = 'error'").agg(F.min("id")).first()[0]
+        first = final.filter("result = 'error'").agg(F.min("id")).first()[0]
         if first is not None:
-            folded = run(todo.filter(F.col("id") < first))
-    results = folded.filter("NOT is_row").drop("is_row", "row", "deleted_at")
-    new = (F.col("result") == "applied") & (F.col("reason") != "replayed")
-    revs = rank_within(results.filter(new).select("id", "op_id", "sync_id"), [], [F.asc("id")], "_n").withColumn("_rev", F.col("_n") + F.lit(first_rev))
-    results = results.join(revs.select("op_id", "_rev"), "op_id", "left").withColumn("server_rev_after", F.coalesce(F.when(F.col("result") == "applied", F.col("_rev")), "server_rev_after")).drop("_rev")
-    last = revs.groupBy("sync_id").agg(F.max("_rev").alias("server_rev"))
-    return results, folded.filter("is_row").select("sync_id", "row", "deleted_at").join(last, "sync_id")
-
-
-def _as(df: DataFrame, struct: str, fields: Sequence[str]) -> Column:
-    have = df.schema[struct].dataType.names
-    return F.when(F.col(struct).isNotNull(), F.struct(*((F.col(f"{struct}.{f}") if f in have else F.lit(None).cast("string")).alias(f) for f in (*fields, "deleted_at"))))
-
+            final = engine.settle(engine.todo.filter(F.col("id") < first))
+    new = final.filter("role = 'takes' AND result = 'applied'")
+    revs = storage.cut(rank_within(new.select("id", "sync_id"), [], [F.asc("id")], "_n").select(F.col("id").alias("_at"), F.col("sync_id").alias("_row"), (F.col("_n") + F.lit(first_rev)).alias("_rev")))
+    place = F.when(F.col("reason") == "replayed", F.coalesce("first", "id")).otherwise(F.col("id"))
+    results = final.join(revs.select("_at", "_rev"), place == F.col("_at"), "left").select("id", "op_id", "sync_id", "op_type", "result", "reason", "conflicts", F.when(F.col("result") == "applied", F.coalesce("stored_rev", "_rev")).alias("server_rev_after"))
+    last = revs.groupBy(F.col("_row").alias("sync_id")).agg(F.max("_rev").alias("server_rev"))
+    return results, engine.rows_after(new).join(last, "sync_id")
+
+
+class _Engine:
+    """Ops as facts in columns, decided by a table of conditions."""
+
+    def __init__(self, ops: DataFrame, server: DataFrame, applied: DataFrame, conflicts: DataFrame, fields: Sequence[str], now: str, hot_rows: int):
+        self.fields, self.now, self.hot_rows = list(fields), now, hot_rows
+        self.order = M.comparable_order([f for f in fields if f != "month"])
+        self.at = {f: i for i, f in enumerate(self.order)}
+        forms = lambda s: M.comparable(self.order, lambda f: F.col(f"{s}.{f}"))
+        based = (F.coalesce("base_rev", F.lit(0)) != 0) & F.coalesce(*(F.col(f"base.{f}").cast("string") for f in fields)).isNotNull()
+        self.todo = storage.cut(ops.select("id", "op_id", "sync_id", "op_type", "payload", "base", forms("payload").alias("off"), forms("base").alias("was"), ((F.col("op_type") == "upsert") & ~based).alias("makes")))
+        self.stored = applied.groupBy("op_id").agg(F.min_by("result", "id").alias("stored"), F.min_by("server_rev_after", "id").alias("stored_rev"))
+        deleted = F.col("deleted_at") if "deleted_at" in server.columns else F.lit(None).cast("string")
+        mine = newest(server).join(self.todo.select("sync_id").distinct(), "sync_id", "left_semi")
+        self.server = storage.cut(mine.select("sync_id", F.struct(*(F.col(f).cast(FIELD_TYPES[f]).alias(f) for f in fields)).alias("row"), deleted.alias("gone_at")))
+        blocking = conflicts.filter((F.col("status") == "open") & ~F.col("kind").isin(*ADVISORY_KINDS))
+        self.held = blocking.select("sync_id").distinct().join(self.todo.select("sync_id").distinct(), "sync_id", "left_semi")
+        self.parked = self._parked(server, blocking)
+
+    def _parked(self, server: DataFrame, blocking: DataFrame) -> DataFrame:
+        """``id, opens``: ops held back by their month's order, and whether this one opens the month's conflict."""
+        moves = month_moves(self.todo).select("id", "month")
+        none = moves.select("id", F.lit(True).alias("opens")).limit(0)
+        if moves.isEmpty():
+            return none
+        bad = storage.cut(ordering_plan(self.todo, server).filter("action = 'conflict'").select("month"))
+        open_months = blocking.filter("kind = 'sr_ordering'").select("month").distinct() if "month" in blocking.columns else bad.limit(0)
+        mine = moves.join(bad, "month")
+        first = mine.join(open_months, "month", "left_anti").groupBy("month").agg(F.min("id").alias("_first"))
+        return storage.cut(mine.join(first, "month", "left").select("id", (F.col("id") == F.col("_first")).alias("opens")))
+
+    def _roles(self, todo: DataFrame) -> DataFrame:
+        """Which delivery of an op takes effect: ``id, role, first, there, stored, stored_rev``.
+
+        ``there``: the row is known when the op comes.  takes: the op's first delivery that finds its row or makes it; again:
+        later ones; early: those before, in error.
+        """
+        light = todo.select("id", "op_id", "sync_id", "op_type", "makes", *(c for c in ("_known",) if c in todo.columns)).join(self.stored, "op_id", "left")
+        if "_known" in todo.columns:
+            light = light.withColumn("stored", F.coalesce("stored", "_known"))
+        live = F.col("stored").isNull() & (F.coalesce("op_id", F.lit("")) != "") & F.col("op_type").isin("upsert", "delete")
+        born = light.filter(live & F.col("makes")).select("sync_id", "id").unionByName(self.server.select("sync_id", F.lit(_SERVER).alias("id")))
+        light = light.join(born.groupBy("sync_id").agg(F.min("id").alias("_born")), "sync_id", "left").withColumn("there", F.coalesce(F.col("_born") < F.col("id"), F.lit(False)))
+        finds = live & (F.col("there") | F.col("makes"))
+        light = light.withColumn("_finds", finds)
+        first = light.filter("_finds").groupBy("op_id", "sync_id").agg(F.min("id").alias("first"))
+        light = light.join(first, ["op_id", "sync_id"], "left")
+        role = (
+            F.when(F.col("stored").isNotNull(), "stored")
+            .when(F.coalesce("op_id", F.lit("")) == "", "nameless")
+            .when(F.col("id") == F.col("first"), "takes")
+            .when(F.col("id") > F.col("first"), "again")
+            .when(~F.col("op_type").isin("upsert", "delete") | F.col("op_type").isNull(), "unknown")
+            .otherwise("early")
+        )
+        return light.select("id", role.alias("role"), "first", "there", "stored", "stored_rev")
+
+    def _steps(self, todo: DataFrame) -> DataFrame:
+        """The ops in their roles, with the state of the row before each."""
+        size = len(self.order)
+        ops = todo.drop("_known").join(self._roles(todo), "id").join(self.parked, "id", "left")
+        takes, update = F.col("role") == "takes", F.col("there") & (F.col("op_type") == "upsert")
+        edits = F.zip_with("off", "was", lambda o, w: F.when(o != w, o))
+        sets = F.when(takes & (F.col("op_type") == "upsert"), F.when(F.col("there"), edits).otherwise(F.col("off")))
+        ops = ops.withColumns({"sets": sets, "dies": takes & F.col("there") & ((F.col("op_type") == "delete") | F.col("payload.deleted_at").isNotNull()), "holds": F.lit(False), "update": takes & update})
+        rows = self.server.select("sync_id", F.lit(_SERVER).alias("id"), M.comparable(self.order, lambda f: F.col(f"row.{f}")).alias("sets"), F.col("gone_at").isNotNull().alias("dies"), F.col("row").alias("row"), *([F.col("row.month").alias("_own_month")] if "month" in self.fields else []))
+        marks = self.held.select("sync_id", F.lit(_HELD).alias("id"), F.lit(True).alias("holds"))
+        every = ops.unionByName(rows, allowMissingColumns=True).unionByName(marks, allowMissingColumns=True)
+        scanned = last_before(every, "sync_id", "id", {f"_n{i}": F.col("sets")[i] for i in range(size)} | {"gone": F.when(F.col("dies"), True), "held": F.when(F.col("holds"), True)}, self.hot_rows)
+        scanned = scanned.withColumn("cur", F.array(*(F.col(f"_n{i}") for i in range(size)))).drop(*(f"_n{i}" for i in range(size)))
+        if "month" not in self.fields:
+            return scanned.withColumns({"sets_month": F.lit(None).cast("string"), "month_now": F.lit(None).cast("string")})
+        d = self.at.get("bid_date")
+        dated = F.lit("") if d is None else V.month_of(F.when(F.col("update"), F.coalesce(F.col("sets")[d], F.col("cur")[d])).otherwise(F.col("off")[d]))
+        typed = F.nullif(F.col("payload.month"), F.lit(""))
+        own = F.when(takes & (F.col("op_type") == "upsert"), F.coalesce(F.nullif(dated, F.lit("")), typed))
+        scanned = scanned.withColumn("sets_month", F.coalesce(F.col("_own_month"), own)).drop("_own_month")
+        return last_before(scanned, "sync_id", "id", {"month_now": F.col("sets_month")}, self.hot_rows)
+
+    def _decided(self, steps: DataFrame) -> DataFrame:
+        """The decision table: each op by the facts on it and on the row before it, the first condition that holds."""
+        month = "month" in self.fields
+        alike = lambda a, b: V.norm_text(a) == V.norm_text(b)
+        moved = F.exists(F.zip_with("was", "cur", lambda w, c: w != c), lambda x: x) | (~alike("base.month", "month_now") if month else F.lit(False))
+        edited = F.exists(F.zip_with("was", "off", lambda w, o: w != o), lambda x: x) | (~alike("base.month", "payload.month") if month else F.lit(False))
+        facts = F.transform(F.arrays_zip("was", "off", "cur"), lambda x: (x["was"] != x["off"]) & (x["was"] != x["cur"]) & (x["off"] != x["cur"]))
+        steps = steps.withColumns({"_moved": moved, "_edited": edited, "_clash": facts})
+        told = lambda kind, f: F.struct(F.lit(kind).alias("kind"), F.lit(f).alias("field"))
+        clash = lambda f: F.col("_clash")[self.at[f]] if f in self.at else F.lit(False)
+        merged = F.array_compact(F.array(*(F.when(clash(f), told(M.conflict_kind(f), f)) for f in sorted(self.order) if f not in UNMERGED_FIELDS)))
+        steps = steps.withColumn("_merged", merged)
+        nothing = F.array().cast("array<struct<kind:string,field:string>>")
+        verdict = lambda result, reason="", found=nothing: F.struct(F.lit(result).alias("result"), F.lit(reason).alias("reason"), found.alias("conflicts"))
+        removes, gone = F.col("op_type") == "delete", F.coalesce("gone", F.lit(False))
+        alive, was_gone = F.col("payload.deleted_at").isNull(), F.col("base.deleted_at").isNotNull()
+        against = verdict("conflict", "", F.array(told("delete_edit", "deleted_at")))
+        opened = F.when(F.col("opens"), F.array(told("sr_ordering", "sr_no"))).otherwise(nothing)
+        table = [
+            (F.col("role") == "stored", F.struct(F.col("stored").alias("result"), F.lit("replayed").alias("reason"), nothing.alias("conflicts"))),
+            (F.col("role") == "nameless", verdict("error", "op without id")),
+            (F.col("role") == "unknown", verdict("error", "unknown op_type")),
+            (F.col("role") == "again", verdict("again")),
+            (F.coalesce("held", F.lit(False)), verdict("conflict", "open conflict")),
+            ((F.col("role") == "early") & removes, verdict("error", "delete of an unknown row")),
+            (F.col("role") == "early", verdict("error", "new row with a base")),
+            (F.col("opens").isNotNull(), verdict("conflict", "month order", F.concat(opened, "_merged"))),
+            (removes & gone, verdict("noop", "already deleted")),
+            (removes & F.col("base").isNotNull() & F.col("_moved"), against),
+            (removes | ~F.col("there"), verdict("applied")),
+            (F.size("_merged") > 0, verdict("conflict", "", F.col("_merged"))),
+            (gone & alive & F.col("_edited"), against),
+            (was_gone & ~(~alive & gone), against),
+            (clash("invoice_no"), verdict("conflict", "", F.array(told("field", "invoice_no")))),
+            (clash("sr_no"), verdict("conflict", "", F.array(told("sr_ordering", "sr_no")))),
+        ]
+        decision = reduce(lambda c, x: c.when(*x), table[1:], F.when(*table[0])).otherwise(verdict("applied"))
+        return steps.withColumn("_v", F.when(F.col("id") > _SERVER, decision)).select("*", "_v.*").drop("_v", "_moved", "_edited", "_clash", "_merged")
+
+    def _once(self, todo: DataFrame) -> DataFrame:
+        decided = self._decided(self._steps(todo))
+        stopped = last_before(decided, "sync_id", "id", {"stop": F.when(F.col("result") == "conflict", True)}, self.hot_rows).filter(F.col("id") > _SERVER)
+        late = F.coalesce("stop", F.lit(False)) & F.col("role").isin("takes", "early")
+        nothing = F.array().cast("array<struct<kind:string,field:string>>")
+        stopped = storage.cut(stopped.withColumns({"result": F.when(late, "conflict").otherwise(F.col("result")), "reason": F.when(late, "open conflict").otherwise(F.col("reason")), "conflicts": F.when(late, nothing).otherwise(F.col("conflicts"))}))
+        again = stopped.filter("role = 'again'").drop("result", "reason")
+        firsts = stopped.filter("role = 'takes'").select(F.col("id").alias("first"), F.col("result").alias("_first"))
+        known = again.join(firsts, "first").withColumns(
+            {
+                "result": F.when(F.col("_first") == "applied", "applied").when(F.col("stop"), "conflict").otherwise(F.col("_first")),
+                "reason": F.when(F.col("_first") == "applied", "replayed").when(F.coalesce("stop", F.lit(False)) | (F.col("_first") == "conflict"), "open conflict").otherwise("already deleted"),
+            }
+        )
+        return stopped.filter("role <> 'again'").unionByName(known.select(*stopped.columns))
+
+    def settle(self, todo: DataFrame) -> DataFrame:
+        """The ops decided.  Where rows share op_ids: again and again, each time with the first applied deliveries of the
+        time before stored for later ones, until they stay the same.  Each time at least one more op in order of id is right."""
+        named = todo.filter("op_id <> ''").groupBy("op_id").agg(F.min("sync_id").alias("_a"), F.max("sync_id").alias("_b"))
+        shared = storage.cut(named.filter("_a <> _b").select("op_id"))
+        final, before = self._once(todo), None
+        if shared.isEmpty():
+            return final
+        while True:
+            first = storage.cut(final.filter("result = 'applied' AND role = 'takes'").join(shared, "op_id", "left_semi").groupBy("op_id").agg(F.min("id").alias("_first")))
+            if before is not None and first.exceptAll(before).isEmpty() and before.exceptAll(first).isEmpty():
+                place = first.withColumnRenamed("_first", "_elsewhere")
+                return final.join(place, "op_id", "left").withColumn("first", F.when((F.col("role") == "stored") & F.col("stored_rev").isNull(), F.col("_elsewhere")).otherwise(F.col("first"))).drop("_elsewhere")
+            known = todo.join(first, "op_id", "left").withColumn("_known", F.when(F.col("id") > F.col("_first"), F.lit("applied"))).drop("_first")
+            final, before = self._once(known), first
+
+    def rows_after(self, new: DataFrame) -> DataFrame:
+        """``sync_id, row, deleted_at``: each field as the last applied op left it that set it or met it unchanged."""
+        steps = new.select("sync_id", "id", "op_type", "payload", "base", "off", "was", "cur", "there", "update", "sets_month", F.lit(None).cast(self.server.schema["row"].dataType).alias("row"), F.lit(None).cast("string").alias("gone_at"))
+        olds = self.server.join(new.select("sync_id").distinct(), "sync_id", "left_semi").select("sync_id", F.lit(_SERVER).alias("id"), "row", "gone_at")
+        every = steps.unionByName(olds, allowMissingColumns=True)
+        upsert, server = F.col("op_type") == "upsert", F.col("id") == _SERVER
+
+        def value(f: str) -> Column:
+            at = self.at[f]
+            edited, same = F.col("off")[at] != F.col("was")[at], F.col("cur")[at] == F.col("was")[at]
+            if f in UNMERGED_FIELDS:
+                mine = F.when(edited & same, F.struct("id", F.col(f"payload.{f}").alias("v")))
+            else:
+                mine = F.when(edited, F.struct("id", F.col(f"payload.{f}").alias("v"))).when(same, F.struct("id", F.col(f"base.{f}").alias("v")))
+            return F.max(F.when(server, F.struct("id", F.col(f"row.{f}").alias("v"))).when(upsert & ~F.col("there"), F.struct("id", F.col(f"payload.{f}").alias("v"))).when(upsert, mine))["v"]
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [()] * len(schema)
-    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+        month = F.max(F.when(server, F.struct("id", F.col("row.month").alias("v"))).when(F.col("sets_month").isNotNull(), F.struct("id", F.col("sets_month").alias("v"))))["v"] if "month" in self.fields else None
+        dead = F.when(server, F.col("gone_at")).when(F.col("op_type") == "delete", F.coalesce("payload.deleted_at", F.lit(self.now))).when(F.col("update"), F.col("payload.deleted_at"))
+        gone = F.max(F.when(dead.isNotNull(), F.struct("id", dead.alias("v"))))["v"]
+        agg = every.groupBy("sync_id").agg(*((month if f == "month" else value(f)).alias(f"_{f}") for f in self.fields), gone.alias("deleted_at"))
+        return agg.select("sync_id", F.struct(*(F.col(f"_{f}").cast(FIELD_TYPES[f]).alias(f) for f in self.fields)).alias("row"), "deleted_at")
 
 
 def collisions_of(results: DataFrame, changed: DataFrame, server: DataFrame) -> DataFrame:
@@ -330,16 +323,22 @@ def collisions_of(results: DataFrame, changed: DataFrame, server: DataFrame) ->
 # Order
 
 
+def month_moves(ops: DataFrame) -> DataFrame:
+    """Upserts that give a row another place in the same month, and the month: that of the date, else the one typed."""
+    month = lambda s: F.coalesce(F.nullif(V.month_of(f"{s}.bid_date"), F.lit("")), F.nullif(F.col(f"{s}.month"), F.lit("")))
+    moves = ops.filter((F.col("op_type") == "upsert") & F.col("base").isNotNull() & ~F.col("payload.sr_no").eqNullSafe(F.col("base.sr_no")))
+    return moves.withColumn("month", month("payload")).filter(F.col("month") == month("base"))
+
+
 def ordering_plan(ops: DataFrame, server: DataFrame) -> DataFrame:
     """``(month, action, ops)`` for each month whose rows upserts would move: unchanged, use_offline, use_online or conflict.
 
     The month's orders by base, offline and online places are compared by each row's rank in the three, not
     as lists, so a month of any size is spread over tasks.
     """
-    moves = ops.filter((F.col("op_type") == "upsert") & F.col("base").isNotNull() & (F.col("payload.month") == F.col("base.month")) & ~F.col("payload.sr_no").eqNullSafe(F.col("base.sr_no")))
-    moved = moves.groupBy("sync_id").agg(F.max_by("payload", "id").alias("p"), F.min_by("base", "id").alias("b"), F.count("*").alias("n")).select("sync_id", F.col("p.month").alias("m"), F.col("p.sr_no").alias("off"), F.col("b.sr_no").alias("base"), "n")
+    moved = month_moves(ops).groupBy("sync_id").agg(F.max_by("month", "id").alias("m"), F.max_by("payload.sr_no", "id").alias("off"), F.min_by("base.sr_no", "id").alias("base"), F.count("*").alias("n"))
     months = moved.select(F.col("m").alias("month")).distinct()
-    live = server.filter(F.col("deleted_at").isNull() & F.col("sync_id").isNotNull()).dropDuplicates(["sync_id"]).join(months, "month", "left_semi").select("sync_id", "month", F.coalesce("sr_no", F.lit(0)).alias("on"))
+    live = newest(server).filter(F.col("deleted_at").isNull()).join(months, "month", "left_semi").select("sync_id", "month", F.coalesce("sr_no", F.lit(0)).alias("on"))
     three = live.join(moved, "sync_id", "left").select("sync_id", "month", "n", "on", F.coalesce("base", "on").alias("base"), F.coalesce("off", "on").alias("off"))
     for side in ("base", "off", "on"):
         three = rank_within(three, ["month"], [F.asc(side), F.asc("sync_id")], f"r_{side}")
@@ -355,13 +354,13 @@ def order_resolution(conflicts: DataFrame, server: DataFrame) -> DataFrame:
     permutation of its live rows.
     """
     if "online" in conflicts.columns:
-        now = rank_within(server.filter(F.col("deleted_at").isNull() & F.col("sync_id").isNotNull()).dropDuplicates(["sync_id"]).join(conflicts.select("month"), "month", "left_semi").select("month", "sync_id", F.coalesce("sr_no", F.lit(0)).alias("_sr")), ["month"], [F.asc("_sr"), F.asc("sync_id")], "_now")
+        now = rank_within(newest(server).filter(F.col("deleted_at").isNull()).join(conflicts.select("month"), "month", "left_semi").select("month", "sync_id", F.coalesce("sr_no", F.lit(0)).alias("_sr")), ["month"], [F.asc("_sr"), F.asc("sync_id")], "_now")
         then = conflicts.select("month", F.posexplode("online").alias("_pos", "sync_id")).select("month", "sync_id", (F.col("_pos") + 1).cast("bigint").alias("_then"))
         moved = now.join(then, ["month", "sync_id"], "full").filter(~F.col("_now").eqNullSafe(F.col("_then"))).select("month").distinct()
         kept = order_resolution(conflicts.join(moved, "month", "left_anti").drop("online"), server)
         return kept.unionByName(conflicts.join(moved, "month", "left_semi").select(F.lit(None).cast("string").alias("sync_id"), "month", F.lit(None).cast("bigint").alias("sr_no"), F.lit("reopened").alias("outcome")))
     chosen = conflicts.select("month", F.posexplode("sequence").alias("pos", "sync_id"))
-    live = server.filter(F.col("deleted_at").isNull() & F.col("sync_id").isNotNull()).select("sync_id", "month", F.lit(True).alias("_here")).dropDuplicates(["sync_id"])
+    live = newest(server).filter(F.col("deleted_at").isNull()).select("sync_id", "month", F.lit(True).alias("_here"))
     both = chosen.withColumn("_asked", F.lit(True)).join(live, ["month", "sync_id"], "full").join(conflicts.select("month").distinct(), "month", "left_semi")
     fine = both.groupBy("month").agg(F.bool_and(F.col("_here").isNotNull() & F.col("_asked").isNotNull()).alias("ok"), (F.count("*") == F.countDistinct("sync_id")).alias("once")).filter("ok AND once").select("month")
     return chosen.join(fine, "month", "left_semi").select("sync_id", "month", (F.col("pos") + 1).cast("bigint").alias("sr_no"), F.lit("applied").alias("outcome"))
@@ -378,7 +377,7 @@ def resolve_fields(conflicts: DataFrame, choices: DataFrame, server: DataFrame)
     """
     fields = [f for f in BUSINESS_FIELDS if f in server.columns]
     now = F.try_element_at(F.create_map(*(x for f in fields for x in (F.lit(f), F.col(f"_row.{f}").cast("string")))), F.col("field_name"))
-    rows = server.filter(F.col("sync_id").isNotNull()).dropDuplicates(["sync_id"]).select("sync_id", F.struct(*fields).alias("_row"), F.lit(True).alias("_here"))
+    rows = newest(server).select("sync_id", F.struct(*fields).alias("_row"), F.lit(True).alias("_here"))
     todo = conflicts.filter("status = 'open'").join(choices.select("id", "choice", F.col("value").alias("_own")), "id").join(rows, "sync_id", "left")
     value = F.when(F.col("choice") == "KEEP_OFFLINE", F.col("offline_value")).when(F.col("choice") == "KEEP_ONLINE", F.col("online_value")).otherwise(F.col("_own"))
     known = F.col("field_name").isin(*fields)
@@ -397,7 +396,7 @@ def retired(ops: DataFrame, server: DataFrame, conflicts: DataFrame) -> DataFram
 def conflict_views(conflicts: DataFrame, records: DataFrame) -> DataFrame:
     """Each row's open conflicts, counted by kind, with the row's label: its name, and its invoice or phone."""
     blank = lambda c: F.nullif(V.strip(c), F.lit(""))
-    named = records.filter(F.col("sync_id").isNotNull()).dropDuplicates(["sync_id"]).select("sync_id", F.coalesce(blank("name"), F.lit("Unnamed record")).alias("label"), F.coalesce(blank("invoice_no"), blank("phone"), F.lit("")).alias("detail"))
+    named = newest(records).select("sync_id", F.coalesce(blank("name"), F.lit("Unnamed record")).alias("label"), F.coalesce(blank("invoice_no"), blank("phone"), F.lit("")).alias("detail"))
     count = lambda *kinds: F.count_if(F.col("kind").isin(*kinds)).alias(f"{kinds[0]}_conflicts")
     views = conflicts.filter("status = 'open'").groupBy("sync_id").agg(
         F.count("*").alias("n"), count("field", "financial", "serial"), count("sr_ordering"), count("invoice_collision"), count("delete_edit"),

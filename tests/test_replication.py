@@ -181,3 +181,111 @@ def test_resolutions(world, spark):
     choices = spark.createDataFrame([(i, c, v) for i, c, v in ((1, "KEEP_OFFLINE", None), (2, "KEEP_OFFLINE", None), (3, "KEEP_ONLINE", None), (4, "KEEP_ONLINE", None), (5, "KEEP_ONLINE", None), (6, "MERGE", "8"))], "id long, choice string, value string")
     got = {r["id"]: (r["outcome"], r["value"]) for r in R.resolve_fields(conflicts, choices, world.table()).collect()}
     assert got == {1: ("applied", "mine"), 2: ("reopened", None), 3: ("invalid", None), 4: ("gone", None), 6: ("applied", "8")}
+
+
+def plain_fold(outbox, rows, held, now="now", first_rev=100):
+    """Ops applied one after another, for values whose plain forms are these: text upper case, anything else itself."""
+    form = lambda v: "" if v is None else v.strip().upper() if isinstance(v, str) else v
+    differ = lambda a, b: [f for f in FIELDS if form(a.get(f)) != form(b.get(f))]
+    rows, held, stored, out, rev = {k: (dict(r), d) for k, (r, d) in rows.items()}, set(held), {}, {}, first_rev
+
+    def one(s, kind, pay, base, base_rev):
+        row, dead = rows.get(s, (None, None))
+        if s in held:
+            return "conflict"
+        if kind == "delete":
+            if row is None:
+                return "error"
+            if dead:
+                return "noop"
+            if base is not None and differ(base, row):
+                return "conflict"
+            rows[s] = (row, pay.get("deleted_at") or now)
+            return "applied"
+        known = base or {}
+        if row is None:
+            if base_rev and any(known.get(f) is not None for f in FIELDS):
+                return "error"
+            rows[s] = ({f: pay.get(f) for f in FIELDS}, None)
+            return "applied"
+        mine, theirs = set(differ(known, pay)) - {"month"}, set(differ(known, row)) - {"month"}
+        if any(f in theirs and form(pay.get(f)) != form(row.get(f)) for f in mine):
+            return "conflict"
+        if dead and not pay.get("deleted_at") and differ(known, pay) or known.get("deleted_at") and not (pay.get("deleted_at") and dead):
+            return "conflict"
+        new = {f: pay.get(f) if f in mine and (f not in theirs or f not in ("sr_no", "invoice_no")) else row[f] if f in theirs or f in ("sr_no", "invoice_no") else known.get(f) for f in FIELDS}
+        rows[s] = (new | {"month": pay.get("month") or row["month"]}, pay.get("deleted_at") or dead)
+        return "applied"
+
+    for id, op_id, s, kind, j, base_rev, _ in sorted(outbox):
+        e = json.loads(j)
+        if not op_id:
+            out[id] = ("error", None)
+        elif op_id in stored:
+            out[id] = ("applied", stored[op_id])
+        elif kind not in ("upsert", "delete"):
+            out[id] = ("error", None)
+        else:
+            result = one(s, kind, e["payload"] or {}, e["base"], base_rev)
+            if result == "applied":
+                rev += 1
+                stored[op_id] = rev
+            held |= {s} if result == "conflict" else set()
+            out[id] = (result, rev if result == "applied" else None)
+    return out, rows
+
+
+@pytest.mark.parametrize("hot_rows", [2, 100_000])
+def test_many_ops_against_a_plain_fold(spark, hot_rows):
+    """Stale and fresh bases, rows made and deleted, ops delivered again, before their row is there, for other rows, and of unknown types."""
+    r = random.Random(11)
+    fresh = lambda: BASE | {"name": r.choice("AB"), "phone": r.choice("12"), "price": r.choice([1.0, 2.0]), "invoice_no": r.choice(["I", "J"]), "bid_date": "odd", "month": "M", "sr_no": 1}
+    world = World(spark)
+    keys = [f"k{i}" for i in range(60)]
+    rows = {k: (fresh(), "2026" if r.random() < 0.1 else None) for k in keys if r.random() < 0.6}
+    held = [k for k in keys if r.random() < 0.05]
+    world.server = [(k, 1, row, d) for k, (row, d) in rows.items()]
+    world.conflicts = [(i, k, "field", "open") for i, k in enumerate(held)]
+    seen = {k: row for k, (row, _) in rows.items()}
+    for i in range(1, 700):
+        k = r.choice(keys[:6] if r.random() < 0.3 else keys)
+        if world.outbox and r.random() < 0.15:
+            world.outbox.append((i, *r.choice(world.outbox)[1:]))
+            continue
+        base = r.choice([seen.get(k), seen.get(k), fresh(), None])
+        new = (base or fresh()) | ({r.choice(["name", "phone", "invoice_no"]): r.choice(["A", "b ", "2", "J"])} if r.random() < 0.9 else {})
+        kind = r.choice(["upsert"] * 7 + ["delete", "rename"])
+        if kind == "delete" or r.random() < 0.03:
+            new = new | {"deleted_at": "t"}
+        again = r.choice(world.outbox)[1] if world.outbox and r.random() < 0.02 else "" if r.random() < 0.01 else None
+        world.outbox.append(op(i, k, new, base, kind, r.choice([0, 3]), again) if again != "" else (*op(i, k, new, base, kind)[:1], "", *op(i, k, new, base, kind)[2:]))
+        if kind == "upsert" and r.random() < 0.7:
+            seen[k] = {f: new.get(f) for f in FIELDS}
+    want, after = plain_fold(world.outbox, rows, held)
+    got = world.run(hot_rows=hot_rows)
+    assert {i: (x[0], x[2]) for i, x in got.items()} == want
+    assert {x for x, _ in want.values()} == {"applied", "conflict", "error", "noop"}
+    changed = {k for k, v in after.items() if v != (rows.get(k, (None, None))) }
+    assert {k: ({f: x["row"][f] for f in FIELDS}, x["deleted_at"]) for k, x in world.changed.items() if k in changed} == {k: after[k] for k in changed}
+
+
+def test_ops_against_a_month_order_are_parked(world):
+    """One ordering conflict for the month; its ops are conflicts and hold back their rows; others go on."""
+    rows = {"sA": 1, "sB": 2, "sC": 3}
+    world.server = [(s, 1, BASE | {"sr_no": n}, None) for s, n in {"sC": 1, "sA": 2, "sB": 3}.items()] + [("z", 1, BASE | {"month": "MAY_2026", "bid_date": "01-05-2026"}, None)]
+    world.outbox = [op(i, s, BASE | {"sr_no": to}, BASE | {"sr_no": rows[s]}) for i, (s, to) in enumerate((("sB", 1), ("sC", 2), ("sA", 3)), 1)]
+    world.outbox += [op(4, "sA", BASE | {"sr_no": 2, "name": "later"}, BASE | {"sr_no": 2}), op(5, "z", BASE | {"month": "MAY_2026", "bid_date": "01-05-2026", "name": "free"}, BASE | {"month": "MAY_2026", "bid_date": "01-05-2026"})]
+    got = world.run()
+    assert [got[i][:2] for i in (1, 2, 3)] == [("conflict", "month order")] * 3 and got[4] == ("conflict", "open conflict", None) and got[5] == ("applied", "", 101)
+    applied = world.spark.createDataFrame([], "id long, op_id string, result string, server_rev_after long")
+    none = world.spark.createDataFrame([], "id long, sync_id string, kind string, status string, month string")
+    results, _ = R.apply_ops(world.ops(), world.table(), applied, none, FIELDS, "now", 100)
+    assert [(c["kind"], c["field"]) for x in results.collect() for c in x["conflicts"] if c["kind"] == "sr_ordering"] == [("sr_ordering", "sr_no")]
+
+
+def test_rows_that_come_twice_and_ops_of_unknown_type(world):
+    """Of several rows of a sync_id the one of the highest revision counts."""
+    world.server = [("a", 5, BASE | {"name": "NEW"}, None), ("a", 1, BASE, None)]
+    world.outbox = [op(1, "a", BASE | {"name": "N1"}, BASE | {"name": "NEW"}), op(2, "a", BASE, op_type="rename")]
+    got = world.run()
+    assert got[1] == ("applied", "", 101) and got[2] == ("error", "unknown op_type", None)
