@@ -66,27 +66,44 @@ class Trie:
         """The automaton of ``word`` runs along the trie: its state is the row of edit distances so far, and
         where no entry is within ``most`` the branch ends."""
         out: list[tuple[str, int]] = []
-        width = len(word) + 1
-        stack = [(self.root, list(range(width)), None, "")]
+        n, far, letters = len(word), most + 1, set(word)
+
+        def step(c: str, row: list[int], before: list[int] | None, last: str, depth: int) -> list[int] | None:
+            """The state after one more letter, in the band that can stay within ``most``; None where it can't."""
+            new = [far] * (n + 1)
+            if depth <= most:
+                new[0] = depth
+            least = new[0]
+            for i in range(max(1, depth - most), min(n, depth + most) + 1):
+                d = row[i - 1]
+                w = word[i - 1]
+                if w != c:
+                    d = 1 + min(d, row[i], new[i - 1])
+                    if before is not None and i > 1 and w == last and word[i - 2] == c and before[i - 2] + 1 < d:
+                        d = before[i - 2] + 1
+                new[i] = d
+                if d < least:
+                    least = d
+            return new if least <= most or min(row) < most else None
+
+        stack = [(self.root, list(range(n + 1)), None, "", 1)]
         while stack:
-            node, row, before, last = stack.pop()
+            node, row, before, last, depth = stack.pop()
+            miss: list[int] | None = None  # letters that the word doesn't have all lead to the same state
+            missed = False
             for c, child in node.items():
                 if c == "":
                     if row[-1] <= most:
                         out.append((child, row[-1]))
                     continue
-                new = [row[0] + 1]
-                for i in range(1, width):
-                    w = word[i - 1]
-                    if w == c:
-                        d = row[i - 1]
-                    else:
-                        d = 1 + min(row[i - 1], row[i], new[i - 1])
-                        if before is not None and i > 1 and w == last and word[i - 2] == c:
-                            d = min(d, before[i - 2] + 1)
-                    new.append(d)
-                if min(new) <= most or min(row) < most:
-                    stack.append((child, new, row, c))
+                if c in letters:
+                    new = step(c, row, before, last, depth)
+                else:
+                    if not missed:
+                        miss, missed = step(c, row, before, last, depth), True
+                    new = miss
+                if new is not None:
+                    stack.append((child, new, row, c, depth + 1))
         return out
 
 
@@ -368,12 +385,16 @@ def addresses(kind: str, word: str) -> set[str]:
 Keys = list[tuple[str, int]]
 
 
-def offers(f: Form) -> Keys:
-    """The keys under which a form is found, and what its own reading costs."""
+def offers(f: Form, full: bool = False) -> Keys:
+    """The keys under which a form is found, and what its own reading costs; ``full``: only those that forms telling the whole
+    name ask for."""
     if f.firm:
         whole = [(f"W|{f.lead}{f.core}", 0)] if len(f.lead) > 2 else []
         return [(f"F|{f.core}|{f.lead}", 0), (f"F|{f.core}|*", 0), *whole] if f.core else []
-    given = [(f"G:{g}", c) for g, c in f.given.items()] + [(f"H:{x}", 0) for x in {w[0] for w in (*(g for g, c in f.given.items() if c == f.cost()), f.unknown) if w}]
+    given = [(f"G:{g}", c) for g, c in f.given.items()]
+    if full:
+        return [(f"S:{f.surname}|{g}", c) for g, c in given]
+    given += [(f"H:{x}", 0) for x in {w[0] for w in (*(g for g, c in f.given.items() if c == f.cost()), f.unknown) if w}]
     given += [(f"U:{f.unknown}", 0)] if f.unknown else [(f"I:{f.initial}", 0)] if f.initial else []
     if not given and not f.surname:
         return []
@@ -483,8 +504,12 @@ class Shard:
         for r in whole:
             best = min(((c + e[0], e[1], e[2]) for k, c in asks(of[r], near, True) if (e := there.get(k)) and _fits(k, c, e[0])), default=None)
             root[r] = root[best[2]] if best else r
-            for k, c in offers(of[r]):
-                there[k] = min(there.get(k, (c, place[r], r)), (c, place[r], r))
+            for k, c in offers(of[r], True):
+                if (e := there.get(k)) is None or c < e[0]:  # of equal ones the earlier stays
+                    there[k] = (c, place[r], r)
+        if len(whole) == len(order):
+            number = {b: i for i, b in enumerate(dict.fromkeys(root[r] for r in readings))}
+            return [number[root[r]] for r in readings]
         records: dict[str, int] = defaultdict(int)
         for r in whole:
             records[root[r]] += n[r]
@@ -493,7 +518,8 @@ class Shard:
             b = root[r]
             for k, c in offers(of[r]):
                 entry = (c, -records[b], place[b], b)
-                buyers[k] = min(buyers.get(k, entry), entry)
+                if (e := buyers.get(k)) is None or entry < e:
+                    buyers[k] = entry
         earlier: dict[str, tuple[int, str]] = {}
         for r in order[len(whole) :]:
             wanted = asks(of[r], near)
