@@ -17,7 +17,7 @@ PATTERNS = {
     "scheme": r"\((\d+/\d+)\)",
 }
 WITHOUT_COMMAS = ("emi", "di")
-ADDRESS_LABEL, ADDRESS_END = r"(?:Address of the customer for delivery|Delivery Address)\s*:", "On the delivery of the product"
+ADDRESS_LABEL, ADDRESS_END = r"(?i)(?:Address of the customer for delivery|Delivery Address)\s*:", "On the delivery of the product"
 
 
 def field(text: Column, name: str) -> Column:
@@ -34,12 +34,12 @@ def product(text: Column) -> Column:
 
 
 def address(text: Column) -> Column:
-    """After the last address label, up to the closing words or a near mobile number; white space collapsed."""
+    """After the last address label (case aside), up to the closing words or a near mobile number; white space collapsed."""
     parts = F.split(text, ADDRESS_LABEL)
     after = F.when(F.size(parts) > 1, F.element_at(parts, -1)).otherwise("")
     end = F.locate(ADDRESS_END, after)
     part = F.when(end > 0, F.substring(after, F.lit(1), end - 1)).otherwise(after)
-    mobile = F.locate("Mobile Number:", part)
+    mobile = F.locate("mobile number:", F.translate(part, "MOBILENUR", "mobilenur"))
     part = F.when((mobile > 0) & (mobile <= 500), F.substring(part, F.lit(1), mobile - 1)).otherwise(part)
     return F.coalesce(F.trim(F.regexp_replace(part, r"\s+", " ")), F.lit(""))
 
@@ -50,6 +50,12 @@ def extract_fields(texts: DataFrame, text: str = "text") -> DataFrame:
     return texts.withColumns({n: field(t, n) for n in PATTERNS} | {"product": product(t), "address": address(t)})
 
 
+def extracted_labels(fields: DataFrame, key: str, labels: dict[str, str]) -> DataFrame:
+    """``(key, field, value)``: extracted fields one below the other under their labels, blank for null."""
+    shown = fields.select(key, *(F.coalesce(F.col(f).cast("string"), F.lit("")).alias(label) for f, label in labels.items()))
+    return shown.unpivot([key], list(labels.values()), "field", "value")
+
+
 def missing_fields(*names: str) -> Column:
     """Those of the named fields that are blank."""
     return F.filter(F.array(*(F.when(F.trim(F.coalesce(F.col(n).cast("string"), F.lit(""))) == "", F.lit(n)) for n in names)), lambda x: x.isNotNull())

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import values as V
 from ledgerloom.operators.ranking import rank_within
+from ledgerloom.schema import PAGE_HEADINGS
 
 SEARCHED = ("name", "phone", "invoice_no", "bid", "product", "serial_no")
 SORTABLE = ("id", "bid_date", "invoice_no", "name", "price", "dp_taken", "di", "month", "created_at")
@@ -47,6 +48,12 @@ def scheme_candidates(records: DataFrame) -> DataFrame:
     return live(records).filter(F.contains("scheme", F.lit("/")) & filled("bid_date")).select("id", "name", "phone", "invoice_no", "product", "emi", "bid_date", "scheme")
 
 
+def page_columns(records: DataFrame) -> DataFrame:
+    """The business fields under the headings of the records page, dates without what follows their first blank."""
+    value = lambda f: F.substring_index(F.coalesce("bid_date", F.lit("")), " ", 1) if f == "bid_date" else F.col(f)
+    return records.select("id", *(value(f).alias(h) for f, h in PAGE_HEADINGS.items()))
+
+
 def slash_dated(records: DataFrame) -> DataFrame:
     return records.filter(F.trim("bid_date").rlike(r"^\d{2}/\d{2}/\d{4}$")).select("id", "bid_date")
 
@@ -90,6 +97,11 @@ def page(rows: DataFrame, sort_by: str = "id", descending: bool = True, number:
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def page_with_total(rows: DataFrame, sort_by: str = "id", descending: bool = True, number: int = 1, size: int = 50) -> DataFrame:
+    """One page of rows and, beside each, how many rows there are on all pages."""
+    return page(rows, sort_by, descending, number, size).crossJoin(rows.agg(F.count("*").alias("total")))  # one row
+
+
 def page_count(rows: int, size: int) -> int:
     return max(1, -(-rows // size))
 
@@ -175,12 +187,26 @@ def fingerprint(records: DataFrame) -> DataFrame:
     return records.agg(F.count("*").alias("n"), F.max("id").alias("max_id"), F.max("updated_at").alias("max_updated"))
 
 
-def checksum(records: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Number of rows and a hash of their contents that doesn't depend on their order.
+def row_text(records: DataFrame, columns: Sequence[str]) -> Column:
+    """A row's values as one text: amounts to six decimals, times to microseconds in UTC, nulls apart from blanks."""
+    def text(f: str) -> Column:
+        kind = dict(records.dtypes)[f]
+        c = F.col(f)
+        if kind in ("double", "float"):
+            c = F.when(F.isnan(c), "NaN").otherwise(F.coalesce(c.try_cast("decimal(28,6)").cast("string"), c.cast("string")))
+        elif kind.startswith("timestamp"):
+            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-"))
+
+    return F.concat_ws("\x1f", *(text(c) for c in columns))
 
-    Equal rows count each: the hashes' halves are added up, not only XORed.
+
+def checksum(records: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Number of rows and a hash of their contents (all columns by default) that doesn't depend on their order.
+
+    Equal rows count each: the hashes, 60 bits of each row's digest, are added up, not only XORed.
     """
-    h = F.xxhash64(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
+    h = F.conv(F.substring(F.md5(row_text(records, columns or records.columns)), 1, 15), 16, 10).cast("bigint")
     return records.agg(F.count("*").alias("n"), F.bit_xor(h).alias("hash_xor"), F.sum(h.cast("decimal(38,0)")).alias("hash_sum"))
 
 
@@ -230,6 +256,11 @@ def recent_invoices(records: DataFrame, n: int) -> DataFrame:
     return live(records).filter(filled("invoice_no")).select("id", "invoice_no").orderBy(F.desc("id")).limit(n)
 
 
+def suggested_invoices(records: DataFrame, current: str, n: int = 5, among: int = 10) -> DataFrame:
+    """The newest ``n`` of the last ``among`` invoices that aren't the current one."""
+    return recent_invoices(records, among).filter(F.col("invoice_no") != current).orderBy(F.desc("id")).limit(n)
+
+
 def last_invoice(records: DataFrame) -> DataFrame:
     """Of the newest row, blank or not."""
     return live(records).select("id", "invoice_no").orderBy(F.desc("id")).limit(1)

@@ -70,16 +70,22 @@ def migrate_slashes(records: DataFrame) -> DataFrame:
     return records.filter(F.trim("bid_date").rlike(r"^\d{2}/\d{2}/\d{4}$") & d.isNotNull()).select("id", F.date_format(d, "dd-MM-yyyy").alias("bid_date"), V.month_key(d).alias("month"))
 
 
+def slash_counts(records: DataFrame) -> DataFrame:
+    """One row: DD/MM/YYYY dates that ``migrate_slashes`` rewrites, those it leaves as no day is meant, and those that then remain."""
+    slashed = records.filter(F.trim("bid_date").rlike(r"^\d{2}/\d{2}/\d{4}$"))
+    bad = F.count_if(V.parse_date("bid_date").isNull())
+    return slashed.agg(F.count_if(V.parse_date("bid_date").isNotNull()).alias("updated"), bad.alias("skipped"), bad.alias("remaining"))
+
+
 def upsert(records: DataFrame, rows: DataFrame, key: str = "sync_id", version: str = "server_rev", expected: str | None = None) -> DataFrame:
-    """The table with ``rows`` (one for each key) put in by key; with ``expected`` only where the stored version is that one.
+    """The table with ``rows`` (one for each key) put in by key; with ``expected`` only where the stored version is that one, null being 0.
 
     Rows of a null key are kept apart: they match nothing and are never replaced.
     """
     new = rows.withColumn("_new", F.lit(True)).select(F.col(key), F.struct(*[c for c in rows.columns if c != key], "_new").alias("_row"))
-    joined = records.join(new, key, "full")
-    old_there = F.coalesce(*(F.col(c).isNotNull() for c in (version,))) if version in records.columns else F.lit(True)
+    joined = records.withColumn("_old", F.lit(True)).join(new, key, "full")
     use = F.col("_row").isNotNull()
     if expected:
-        use = use & (~old_there | F.col(f"_row.{expected}").eqNullSafe(F.col(version)))
+        use = use & (F.col("_old").isNull() | (F.coalesce(F.col(f"_row.{expected}"), F.lit(0)) == F.coalesce(version, F.lit(0))))
     given = set(rows.columns)
     return joined.select(*(F.col(key) if c == key else F.when(use, F.col(f"_row.{c}")).otherwise(F.col(c)).alias(c) if c in given else F.col(c) for c in records.columns))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import values as V
 from ledgerloom.operators import merge as M
 from ledgerloom.operators.ranking import rank_within
+from ledgerloom.operators.replication import newest
 
 OUTCOME = {"applied": "applied", "noop": "applied", "conflict": "blocked"}
 
@@ -87,9 +88,12 @@ def record_applied(applied: DataFrame, results: DataFrame, at: str) -> DataFrame
     return applied.unionByName(rows.select((F.col("_n") + F.lit(top)).alias("id"), "op_id", "sync_id", "op_type", "result", "server_rev_after", F.lit(None).cast("string").alias("conflict_json"), F.lit(at).alias("applied_at")))
 
 
-def record_conflicts(conflicts: DataFrame, results: DataFrame, at: str) -> DataFrame:
-    """The conflicts with those that results opened: one for each field, ids after the last."""
+def record_conflicts(conflicts: DataFrame, results: DataFrame, at: str, collisions: DataFrame | None = None) -> DataFrame:
+    """The conflicts with those that results opened, one for each field, and the advisory ones of ``collisions``; ids after the last."""
     found = results.filter(F.size("conflicts") > 0).select(F.col("id").alias("_o"), "sync_id", F.posexplode("conflicts").alias("_p", "_c"))
+    if collisions is not None:
+        told = F.struct(F.lit("invoice_collision").alias("kind"), F.lit("invoice_no").alias("field"))
+        found = found.unionByName(collisions.select(F.col("id").alias("_o"), "sync_id", F.lit(-1).alias("_p"), told.alias("_c")))
     top = conflicts.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     rows = rank_within(found, [], [F.asc("_o"), F.asc("_p")], "_n").select((F.col("_n") + F.lit(top)).alias("id"), "sync_id", F.col("_c.kind").alias("kind"), F.col("_c.field").alias("field_name"), F.lit("open").alias("status"), F.lit(at).alias("created_at"))
     return conflicts.unionByName(rows, allowMissingColumns=True)
@@ -115,15 +119,27 @@ def order_view(sequences: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def settled(server: DataFrame, resolved: DataFrame, fields: Sequence[str], first_rev: int) -> DataFrame:
-    """Server rows with the values of applied resolutions (``sync_id, field_name, outcome, value``): one new revision a row,
-    month by the date, a deleted row stays deleted.  Only rows that change come out."""
-    done = resolved.filter(F.col("outcome") == "applied").groupBy("sync_id").agg(F.map_from_entries(F.collect_list(F.struct("field_name", "value"))).alias("_v"))
-    rows = server.filter(F.col("sync_id").isNotNull()).dropDuplicates(["sync_id"]).join(done, "sync_id")
+    """Server rows with the values of applied resolutions (``id, sync_id, field_name, outcome, value``): one new revision a row,
+    month by the date.  Of several resolutions of a field the one with the highest id counts.  A deleted row stays deleted unless one of
+    ``deleted_at`` says otherwise (null: alive).  Only rows that change come out."""
+    one = resolved.filter(F.col("outcome") == "applied").groupBy("sync_id", "field_name").agg(F.max_by(F.struct("value"), F.col("id") if "id" in resolved.columns else F.lit(0))["value"].alias("value"))
+    done = one.groupBy("sync_id").agg(F.map_from_entries(F.collect_list(F.struct("field_name", "value"))).alias("_v"))
+    rows = newest(server).join(done, "sync_id")
+    if "deleted_at" in server.columns:
+        fields = [*fields, "deleted_at"]
     kinds = dict(server.dtypes)
     rows = rows.withColumns({f: F.when(F.map_contains_key("_v", F.lit(f)), F.try_element_at("_v", F.lit(f)).try_cast(kinds[f])).otherwise(F.col(f)) for f in fields})
     if "bid_date" in fields and "month" in fields:
         rows = rows.withColumn("month", F.coalesce(F.nullif(V.month_of("bid_date"), F.lit("")), "month"))
-    return server_changes(rows.drop("_v"), fields, first_rev)
+    return server_changes(rows.drop("_v"), [f for f in fields if f != "deleted_at"], first_rev)
+
+
+def reordered(server: DataFrame, resolution: DataFrame, fields: Sequence[str], first_rev: int) -> DataFrame:
+    """Server rows in the places that ``order_resolution`` has applied: one new revision a row in order of month and place."""
+    placed = resolution.filter(F.col("outcome") == "applied").select("sync_id", F.col("sr_no").alias("_sr"), F.col("month").alias("_month"))
+    rows = newest(server).join(placed, "sync_id").withColumns({"sr_no": F.col("_sr"), "month": F.col("_month")})
+    ranked = rank_within(rows, [], [F.asc("_month"), F.asc("_sr"), F.asc("sync_id")], "_n")
+    return ranked.withColumns({"server_rev": F.col("_n") + F.lit(first_rev), "row_rev": F.lit(0).cast("bigint"), "base_json": V.canonical_json(fields)}).drop("_n", "_sr", "_month")
 
 
 def converged(local: DataFrame, server: DataFrame, waiting: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -132,7 +148,7 @@ def converged(local: DataFrame, server: DataFrame, waiting: DataFrame, fields: S
     with open conflicts, left alone.  Rows deleted on the server take its state whole."""
     schema = "struct<" + ", ".join(f"{f}: {dict(server.dtypes)[f]}" for f in fields) + ">"
     mine = local.filter(F.col("sync_id").isNotNull()).select("sync_id", F.struct(*fields).alias("offline"), F.from_json("base_json", schema).alias("base"))
-    theirs = server.filter(F.col("sync_id").isNotNull()).dropDuplicates(["sync_id"]).select("sync_id", F.struct(*fields).alias("online"), "server_rev", F.col("deleted_at").isNotNull().alias("_gone"))
+    theirs = newest(server).select("sync_id", F.struct(*fields).alias("online"), "server_rev", F.col("deleted_at").isNotNull().alias("_gone"))
     both = mine.join(theirs, "sync_id").join(waiting.select("sync_id"), "sync_id", "left_anti").withColumn("base", F.coalesce("base", "offline"))
     order = M.comparable_order(fields)
     both = both.withColumns({f"_c{s}": M.comparable(fields, lambda f, s=s: F.col(f"{s}.{f}")) for s in ("base", "offline", "online")})

@@ -14,7 +14,7 @@ from ledgerloom.operators import merge as M
 from ledgerloom.operators.changelog import whole_object
 from ledgerloom.operators.ranking import rank_within
 from ledgerloom.operators.scan import HOT_ROWS, last_before
-from ledgerloom.schema import BUSINESS_FIELDS, FIELD_TYPES, UNMERGED_FIELDS
+from ledgerloom.schema import BUSINESS_FIELDS, FIELD_LABELS, FIELD_TYPES, FINANCIAL_FIELDS, KIND_LABELS, UNMERGED_FIELDS
 
 # States of an op, kinds of conflict that hold a row back, choices of a resolution.
 ACTIVE = ("pending", "in_flight", "blocked")
@@ -90,6 +90,21 @@ def coalesce_ops(ops: DataFrame) -> DataFrame:
     return waiting.groupBy("sync_id").agg(F.max_by("op_id", "id").alias("op_id"), F.max_by("payload", "id").alias("payload"), F.min_by("base", "id").alias("base"), F.min_by("base_rev", "id").alias("base_rev"), (F.count("*") - 1).alias("superseded"))
 
 
+def row_of(records: DataFrame, sync_id: str) -> DataFrame:
+    """A sync_id's row with what synchronising keeps of it: of several the newest."""
+    return newest(records.filter(F.col("sync_id") == sync_id))
+
+
+def business_row(records: DataFrame, sync_id: str) -> DataFrame:
+    """The business fields of a sync_id's row."""
+    return row_of(records, sync_id).select(*(f for f in BUSINESS_FIELDS if f in records.columns))
+
+
+def revision(rows: DataFrame) -> DataFrame:
+    """One row: the revision the table has reached, 0 if none."""
+    return rows.agg(F.coalesce(F.max("server_rev"), F.lit(0)).alias("revision"))
+
+
 def status_counts(ops: DataFrame) -> DataFrame:
     return ops.groupBy("status").agg(F.count("*").alias("n"))
 
@@ -312,12 +327,16 @@ class _Engine:
         return agg.select("sync_id", F.struct(*(F.col(f"_{f}").cast(FIELD_TYPES[f]).alias(f) for f in self.fields)).alias("row"), "deleted_at")
 
 
-def collisions_of(results: DataFrame, changed: DataFrame, server: DataFrame) -> DataFrame:
-    """Advisory: applied rows whose invoice another sync_id has, in the table or among the rows applied; nothing is held back."""
+def collisions_of(results: DataFrame, changed: DataFrame, server: DataFrame, ops: DataFrame) -> DataFrame:
+    """``id, sync_id, invoice, others``: the last applied op that gave a known row another invoice, where another sync_id has this one,
+    in the table or among the rows applied.  Advisory: nothing is held back."""
+    known = newest(server).select("sync_id", F.lit(True).alias("_known"))
+    edits = ops.filter((F.col("op_type") == "upsert") & (V.norm_text("payload.invoice_no") != V.norm_text("base.invoice_no"))).select("id")
+    own = results.filter((F.col("result") == "applied") & (F.col("reason") != "replayed")).join(edits, "id", "left_semi").join(known, "sync_id", "left_semi").groupBy("sync_id").agg(F.max("id").alias("id"))
     inv = changed.select("sync_id", V.norm_text("row.invoice_no").alias("invoice")).filter("invoice <> ''")
     owned = server.filter(F.col("sync_id").isNotNull()).select("sync_id", V.norm_text("invoice_no").alias("invoice")).filter("invoice <> ''")
     owners = owned.unionByName(inv).distinct().groupBy("invoice").agg(F.count("*").alias("n"))
-    return inv.join(owners.filter("n > 1"), "invoice").select("sync_id", "invoice", (F.col("n") - 1).alias("others"))
+    return inv.join(owners.filter("n > 1"), "invoice").join(own, "sync_id").select("id", "sync_id", "invoice", (F.col("n") - 1).alias("others"))
 
 
 # Order
@@ -346,6 +365,15 @@ def ordering_plan(ops: DataFrame, server: DataFrame) -> DataFrame:
     return same.select("month", M.sequence_action(F.col("ob"), F.col("nb"), F.col("on_")).alias("action"), "ops")
 
 
+def order_choices(conflicts: DataFrame, choices: DataFrame) -> DataFrame:
+    """``month, sequence, online`` of open ordering conflicts under the choices made for them (``id, choice, value``, lists as JSON), as
+    ``order_resolution`` takes them; of several for one month the newest."""
+    made = conflicts.filter("status = 'open' AND kind = 'sr_ordering'").join(choices.select("id", "choice", F.col("value").alias("_own")), "id").filter(F.col("choice").isin(*CHOICES))
+    chosen = F.when(F.col("choice") == "KEEP_OFFLINE", F.col("offline_value")).when(F.col("choice") == "KEEP_ONLINE", F.col("online_value")).otherwise(F.col("_own"))
+    last = made.groupBy("month").agg(F.max_by(F.struct(chosen.alias("s"), F.col("online_value").alias("o")), "id").alias("_c"))
+    return last.select("month", V.json_list("_c.s").alias("sequence"), V.json_list("_c.o").alias("online"))
+
+
 def order_resolution(conflicts: DataFrame, server: DataFrame) -> DataFrame:
     """``(sync_id, month, sr_no, outcome)`` by the chosen orders: ``month, sequence`` (array of sync_ids), one row for each month.
 
@@ -372,18 +400,26 @@ def order_resolution(conflicts: DataFrame, server: DataFrame) -> DataFrame:
 def resolve_fields(conflicts: DataFrame, choices: DataFrame, server: DataFrame) -> DataFrame:
     """``(id, sync_id, field_name, outcome, value)``: open field conflicts under the choices made for them.
 
-    ``choices``: ``id, choice, value``.  outcome: applied; reopened where the online value is no longer the one the
-    conflict recorded; invalid for an unknown choice or an advisory conflict; gone where there is no row.
+    ``choices``: ``id, choice, value``.  outcome: applied; reopened where the online value (by the field's class), or for a delete against an
+    edit whether the row is deleted, is no longer what the conflict recorded; invalid for an unknown choice, an advisory
+    conflict, or one on a month's order (``order_resolution`` settles these); gone where there is no row.  The value of a settled delete
+    is the time of deletion, null for a row that lives.
     """
     fields = [f for f in BUSINESS_FIELDS if f in server.columns]
     now = F.try_element_at(F.create_map(*(x for f in fields for x in (F.lit(f), F.col(f"_row.{f}").cast("string")))), F.col("field_name"))
-    rows = newest(server).select("sync_id", F.struct(*fields).alias("_row"), F.lit(True).alias("_here"))
+    gone = F.col("deleted_at") if "deleted_at" in server.columns else F.lit(None).cast("string")
+    rows = newest(server).select("sync_id", F.struct(*fields).alias("_row"), gone.alias("_gone"), F.lit(True).alias("_here"))
     todo = conflicts.filter("status = 'open'").join(choices.select("id", "choice", F.col("value").alias("_own")), "id").join(rows, "sync_id", "left")
-    value = F.when(F.col("choice") == "KEEP_OFFLINE", F.col("offline_value")).when(F.col("choice") == "KEEP_ONLINE", F.col("online_value")).otherwise(F.col("_own"))
+    deletes = F.col("kind") == "delete_edit"
+    own = F.when(deletes, F.col("offline_value")).otherwise(F.col("_own"))
+    value = F.when(F.col("choice") == "KEEP_OFFLINE", F.col("offline_value")).when(F.col("choice") == "KEEP_ONLINE", F.col("online_value")).otherwise(own)
     known = F.col("field_name").isin(*fields)
-    moved = V.norm_text(F.when(known, now)) != V.norm_text("online_value")
-    outcome = F.when(~F.col("choice").isin(*CHOICES) | F.col("kind").isin(*ADVISORY_KINDS) | ~known, "invalid").when(F.col("_here").isNull(), "gone").when(moved, "reopened").otherwise("applied")
-    return todo.select("id", "sync_id", "field_name", outcome.alias("outcome"), F.when(outcome == "applied", value).alias("value"))
+    same = lambda f: M.values_equal(f, now, F.col("online_value"))
+    typed = F.when(F.col("field_name").isin(*FINANCIAL_FIELDS), same(FINANCIAL_FIELDS[0])).when(F.col("field_name") == "bid_date", same("bid_date")).otherwise(same("name"))
+    moved = F.when(deletes, V.as_deleted("online_value").isNotNull() != F.col("_gone").isNotNull()).otherwise(~typed)
+    settles = F.col("kind").isin("field", "financial", "serial") & known | deletes
+    outcome = F.when(~F.col("choice").isin(*CHOICES) | ~settles, "invalid").when(F.col("_here").isNull(), "gone").when(moved, "reopened").otherwise("applied")
+    return todo.select("id", "sync_id", "field_name", outcome.alias("outcome"), F.when(outcome == "applied", F.when(deletes, V.as_deleted(value)).otherwise(value)).alias("value"))
 
 
 def retired(ops: DataFrame, server: DataFrame, conflicts: DataFrame) -> DataFrame:
@@ -393,6 +429,24 @@ def retired(ops: DataFrame, server: DataFrame, conflicts: DataFrame) -> DataFram
     return ops.filter("status = 'blocked'").join(newer, "sync_id").filter("_rev > base_rev").join(still, "sync_id", "left_anti").select("id", "op_id", "sync_id", "base_rev", F.col("_rev").alias("server_rev"))
 
 
+def shown_value(value: str) -> Column:
+    """A conflict's value as shown: blank for null, but orders and invoices as they are."""
+    return F.when(F.col("kind").isin("sr_ordering", "invoice_collision"), F.col(value)).otherwise(F.coalesce(value, F.lit("")))
+
+
+def conflict_lists(conflicts: DataFrame) -> DataFrame:
+    """Each row's open conflicts in four lists (fields, orders, invoices, deletes), by id, with labels of fields and kinds."""
+    item = F.struct("id", F.col("field_name").alias("field"), V.label("field_name", FIELD_LABELS).alias("field_label"), "kind", V.label("kind", KIND_LABELS).alias("kind_label"), *(shown_value(f"{s}_value").alias(s) for s in ("base", "offline", "online")))
+    of = lambda name, *kinds: F.array_sort(F.collect_list(F.when(F.col("kind").isin(*kinds), item))).alias(name)
+    named = F.array_sort(F.collect_set(V.label("kind", KIND_LABELS))).alias("types")
+    return conflicts.filter("status = 'open' AND sync_id IS NOT NULL").groupBy("sync_id").agg(of("fields", "field", "financial", "serial"), of("orders", "sr_ordering"), of("invoices", "invoice_collision"), of("deletes", "delete_edit"), named)
+
+
+def by_label(views: DataFrame) -> DataFrame:
+    """Views in order of their label, case aside."""
+    return views.orderBy(F.lower("label"), "sync_id")
+
+
 def conflict_views(conflicts: DataFrame, records: DataFrame) -> DataFrame:
     """Each row's open conflicts, counted by kind, with the row's label: its name, and its invoice or phone."""
     blank = lambda c: F.nullif(V.strip(c), F.lit(""))

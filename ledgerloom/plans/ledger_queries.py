@@ -236,9 +236,18 @@ def fingerprint(spark, folder):
     return L.fingerprint(records(spark, folder)).withColumn("max_updated", F.date_format("max_updated", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query()
+_COLUMNS = {f: "bigint" for f in ("id", "sr_no", "server_rev", "row_rev")} | {f: "double" for f in ("price", "emi", "di", "dp_taken", "given_prod_price")} | {"updated_at": "timestamp"}
+_ALL = "id sr_no bid_date invoice_no name xcell product serial_no price emi di bid dp_taken scheme actual_product given_prod_price phone alt_phone month created_at updated_at remarks sync_id server_rev row_rev base_json deleted_at counter_id".split()
+
+
+def _row_text(columns) -> str:
+    kinds = {"double": "CASE WHEN isnan({0}) THEN 'NaN' ELSE coalesce(CAST(TRY_CAST({0} AS DECIMAL(28,6)) AS VARCHAR), CAST({0} AS VARCHAR)) END", "timestamp": "strftime({0}, '%Y-%m-%d %H:%M:%S.%f')"}
+    return " || chr(31) || ".join(f"coalesce('=' || CAST({kinds.get(_COLUMNS.get(c), '{0}').format(c)} AS VARCHAR), '-')" for c in columns)
+
+
+@query(f"SELECT count(*) AS n, bit_xor(h) AS hash_xor, CAST(sum(h) AS VARCHAR) AS hash_sum FROM (SELECT CAST('0x' || substr(md5({_row_text(_ALL)}), 1, 15) AS BIGINT) AS h FROM records)")
 def table_checksum(spark, folder):
-    return L.checksum(records(spark, folder), ["id", "sr_no", "bid_date", "invoice_no", "name", "price", "sync_id"])
+    return L.checksum(records(spark, folder).select(*_ALL)).withColumn("hash_sum", F.col("hash_sum").cast("string"))
 
 
 # Numbering and duplicates

@@ -15,6 +15,11 @@ UNMERGED_FIELDS = ("sr_no", "invoice_no", "month")
 MONTHS = ("JANUARY", "FEBRUARY", "MARCH", "APRIL", "MAY", "JUNE", "JULY", "AUGUST", "SEPTEMBER", "OCTOBER", "NOVEMBER", "DECEMBER")
 
 SYNC_COLUMNS = {"sync_id": "string", "server_rev": "bigint", "row_rev": "bigint", "base_json": "string", "deleted_at": "string"}
+# What kinds of conflict are called.
+KIND_LABELS = {"field": "Field conflict", "financial": "Amount conflict", "serial": "Serial conflict", "sr_ordering": "Order conflict", "invoice_collision": "Invoice collision", "delete_edit": "Deleted and edited"}
+# The headings of the records page in order, and the labels of fields read from a delivery order.
+PAGE_HEADINGS = {f: f.upper().replace("_", " ") for f in BUSINESS_FIELDS}
+EXTRACTED_LABELS = {"name": "Customer Name", "product": "Product", "price": "Price", "mobile": "Phone", "address": "Address", "bid": "BID / DO ID", "bid_date": "BID Date", "emi": "EMI", "di": "DI", "scheme": "Scheme"}
 FIELD_LABELS = {"sr_no": "SR No", "bid_date": "Date", "invoice_no": "Invoice", "serial_no": "Serial", "di": "Disbursed", "emi": "EMI", "dp_taken": "Down payment", "bid": "DO ID"}
 
 FIELD_TYPES = {f: "bigint" if f == "sr_no" else "double" if f in FINANCIAL_FIELDS else "string" for f in BUSINESS_FIELDS}
