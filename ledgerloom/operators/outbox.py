@@ -82,7 +82,9 @@ def push_outcomes(results: DataFrame) -> DataFrame:
 
 def record_applied(applied: DataFrame, results: DataFrame, at: str) -> DataFrame:
     """The ledger of applied ops with new results; replayed ones, conflicts and no-ops aren't entered."""
-    new = results.filter((F.col("result") == "applied") & (F.col("reason") != "replayed")).dropDuplicates(["op_id"]).join(applied.select("op_id"), "op_id", "left_anti")
+    cols = [c for c in results.columns if c != "op_id"]
+    fresh = results.filter((F.col("result") == "applied") & (F.col("reason") != "replayed"))
+    new = fresh.groupBy("op_id").agg(F.min_by(F.struct(*cols), "id").alias("_f")).select("op_id", "_f.*").join(applied.select("op_id"), "op_id", "left_anti")
     top = applied.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     rows = rank_within(new.withColumnRenamed("id", "_o"), [], [F.asc("_o")], "_n")
     return applied.unionByName(rows.select((F.col("_n") + F.lit(top)).alias("id"), "op_id", "sync_id", "op_type", "result", "server_rev_after", F.lit(None).cast("string").alias("conflict_json"), F.lit(at).alias("applied_at")))

@@ -359,6 +359,11 @@ def ordering_plan(ops: DataFrame, server: DataFrame) -> DataFrame:
     months = moved.select(F.col("m").alias("month")).distinct()
     live = newest(server).filter(F.col("deleted_at").isNull()).join(months, "month", "left_semi").select("sync_id", "month", F.coalesce("sr_no", F.lit(0)).alias("on"))
     three = live.join(moved, "sync_id", "left").select("sync_id", "month", "n", "on", F.coalesce("base", "on").alias("base"), F.coalesce("off", "on").alias("off"))
+    return order_actions(three)
+
+
+def order_actions(three: DataFrame) -> DataFrame:
+    """``(month, action, ops)`` of each month by its rows' places in three orders: ``sync_id, month, base, off, on, n``."""
     for side in ("base", "off", "on"):
         three = rank_within(three, ["month"], [F.asc(side), F.asc("sync_id")], f"r_{side}")
     same = three.groupBy("month").agg(F.bool_and(F.col("r_off") == F.col("r_base")).alias("ob"), F.bool_and(F.col("r_on") == F.col("r_base")).alias("nb"), F.bool_and(F.col("r_off") == F.col("r_on")).alias("on_"), F.coalesce(F.sum("n"), F.lit(0)).alias("ops"))

@@ -365,10 +365,21 @@ def extract_fields(spark, folder):
     return docs.select("doc_id", *X.PATTERNS)
 
 
-@query()
+_PRODUCT = r"""CASE WHEN strpos(text, 'Model') > 0 AND strpos(text, 'EAN Number') > strpos(text, 'Model') THEN
+ upper(array_to_string(list_filter(list_transform(string_split(regexp_replace(substr(text, strpos(text, 'Model') + 5, greatest(strpos(text, 'EAN Number') - strpos(text, 'Model') - 5, 0)), '[",]', '', 'g'), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), ' - ')) ELSE '' END"""
+_AFTER = r"CASE WHEN len(regexp_split_to_array(text, '(?i)(?:Address of the customer for delivery|Delivery Address)\s*:')) > 1 THEN regexp_split_to_array(text, '(?i)(?:Address of the customer for delivery|Delivery Address)\s*:')[-1] ELSE '' END"
+
+
+_MISSING = "concat_ws(',', " + ", ".join(f"CASE WHEN trim(coalesce(regexp_extract(text, '{_XF[n]}', 1), '')) = '' THEN '{n}' END" for n in ("name", "price", "mobile")) + ")"
+
+
+@query(rf"""WITH a AS (SELECT doc_id, {_PRODUCT} AS product, {_AFTER} AS after FROM documents), b AS (SELECT doc_id, product, CASE WHEN strpos(after, 'On the delivery of the product') > 0 THEN substr(after, 1, strpos(after, 'On the delivery of the product') - 1) ELSE after END AS part FROM a),
+c AS (SELECT doc_id, product, CASE WHEN strpos(lower(part), 'mobile number:') BETWEEN 1 AND 500 THEN substr(part, 1, strpos(lower(part), 'mobile number:') - 1) ELSE part END AS part FROM b)
+SELECT doc_id, product, coalesce(trim(regexp_replace(part, '\s+', ' ', 'g')), '') AS address, {_MISSING} AS missing FROM c JOIN documents USING (doc_id)""")
 def extract_blocks(spark, folder):
-    """Products and addresses of the documents; held against a sequential reading in the tests."""
-    return X.extract_fields(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "product", "address", X.missing_fields("name", "price", "mobile").alias("missing"))
+    """Products and addresses of the documents, and which fields they lack."""
+    found = X.extract_fields(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "product", "address", F.array_join(X.missing_fields("name", "price", "mobile"), ",").alias("missing"))
 
 
 _ROW_DATE = f"({_date('bid_date')})"
@@ -489,7 +500,7 @@ def tombstones(spark, folder):
 def pulled_merge(spark, folder):
     """Pulled rows merged into the ledger; held against the rules on a fixture in the tests."""
     ops = R.decode_ops(table(spark, folder, "outbox"))
-    pulled = table(spark, folder, "records_online").filter("server_rev > 0").dropDuplicates(["sync_id"])
+    pulled = R.newest(table(spark, folder, "records_online").filter("server_rev > 0"))
     return R.merge_pulled(pulled, records(spark, folder), ops, SHARED).select("sync_id", "server_rev", "action", F.size("conflicts").alias("n_conflicts"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import storage
 from ledgerloom.functions import values as V
-from ledgerloom.operators.ledger import by_month, workbook_rows
+from ledgerloom.operators.ledger import by_month, checksum, workbook_rows
 from ledgerloom.sources.workbook import write_workbook
 
 
@@ -42,10 +42,21 @@ def insert_statements(df: DataFrame, table: str) -> DataFrame:
     return df.select(F.concat(F.lit(f"INSERT INTO {table} ({', '.join(df.columns)}) VALUES ("), F.concat_ws(", ", *cells), F.lit(");")).alias("value"))
 
 
-def backup(df: DataFrame, path: str, table: str) -> None:
-    """The table as SQL text and as JSON lines."""
+def backup(df: DataFrame, path: str, table: str, at: datetime | None = None) -> dict:
+    """The table as SQL text and as JSON lines, and a manifest of what was read back from these: rows, checksum, whether both are the table's."""
     insert_statements(df, table).write.mode("overwrite").text(f"{path}/sql")
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/json")
+    spark = df.sparkSession
+    own, again = (checksum(t, df.columns).first() for t in (df, spark.read.schema(df.schema).json(f"{path}/json")))
+    statements = spark.read.text(f"{path}/sql", wholetext=False, lineSep=";\n").count()
+    manifest = {"created_at_utc": (at or datetime.now(timezone.utc)).isoformat(timespec="seconds"), "table": table, "rows": again["n"], "statements": statements, "checksum": f"{own['hash_xor']:x}-{own['hash_sum']}", "verified": own == again}
+    storage.put(spark, f"{path}/manifest.json", json.dumps(manifest, indent=2))
+    return manifest
+
+
+def backup_invoices(df: DataFrame, path: str, invoice: str = "invoice_no") -> None:
+    """A folder of JSON for each invoice."""
+    df.withColumn("invoice", V.safe_name(F.coalesce(F.nullif(F.col(invoice), F.lit("")), F.lit("none")))).repartition("invoice").write.partitionBy("invoice").mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def settings(path: str, defaults: dict) -> dict:

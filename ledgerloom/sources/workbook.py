@@ -125,5 +125,20 @@ def import_rows(rows: DataFrame) -> DataFrame:
     return rows.filter(readable).withColumns({c: V.amount(c) for c in amounts})
 
 
+def import_defaults(rows: DataFrame, order: str) -> DataFrame:
+    """Rows of an import with the keys they lack: a blank place is the row's number in order, a blank invoice IMP- and this number."""
+    from ledgerloom.operators.ranking import rank_within
+
+    blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+    ranked = rank_within(rows, [], [F.asc(order)], "_n")
+    number = F.when(F.col("_n") < 1000, F.lpad(F.col("_n").cast("string"), 3, "0")).otherwise(F.col("_n").cast("string"))
+    return ranked.withColumns({"sr_no": F.when(blank("sr_no"), F.col("_n")).otherwise(F.col("sr_no")), "invoice_no": F.when(blank("invoice_no"), F.concat(F.lit("IMP-"), number)).otherwise(F.col("invoice_no"))}).drop("_n")
+
+
+def import_counts(rows: DataFrame, imported: DataFrame) -> DataFrame:
+    """One row: how many rows of an import came in, and how many were left out."""
+    return rows.agg(F.count("*").alias("_all")).crossJoin(imported.agg(F.count("*").alias("imported"))).select("imported", (F.col("_all") - F.col("imported")).alias("skipped"))  # one row each
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(WorkbookSource)
