@@ -415,6 +415,7 @@ def resolve_fields(conflicts: DataFrame, choices: DataFrame, server: DataFrame)
     gone = F.col("deleted_at") if "deleted_at" in server.columns else F.lit(None).cast("string")
     rows = newest(server).select("sync_id", F.struct(*fields).alias("_row"), gone.alias("_gone"), F.lit(True).alias("_here"))
     todo = conflicts.filter("status = 'open'").join(choices.select("id", "choice", F.col("value").alias("_own")), "id").join(rows, "sync_id", "left")
+    todo, now = todo.withColumn("_now", now), F.col("_now")
     deletes = F.col("kind") == "delete_edit"
     own = F.when(deletes, F.col("offline_value")).otherwise(F.col("_own"))
     value = F.when(F.col("choice") == "KEEP_OFFLINE", F.col("offline_value")).when(F.col("choice") == "KEEP_ONLINE", F.col("online_value")).otherwise(own)
@@ -424,7 +425,8 @@ def resolve_fields(conflicts: DataFrame, choices: DataFrame, server: DataFrame)
     moved = F.when(deletes, V.as_deleted("online_value").isNotNull() != F.col("_gone").isNotNull()).otherwise(~typed)
     settles = F.col("kind").isin("field", "financial", "serial") & known | deletes
     outcome = F.when(~F.col("choice").isin(*CHOICES) | ~settles, "invalid").when(F.col("_here").isNull(), "gone").when(moved, "reopened").otherwise("applied")
-    return todo.select("id", "sync_id", "field_name", outcome.alias("outcome"), F.when(outcome == "applied", F.when(deletes, V.as_deleted(value)).otherwise(value)).alias("value"))
+    told = todo.withColumn("outcome", outcome)
+    return told.select("id", "sync_id", "field_name", "outcome", F.when(F.col("outcome") == "applied", F.when(deletes, V.as_deleted(value)).otherwise(value)).alias("value"))
 
 
 def retired(ops: DataFrame, server: DataFrame, conflicts: DataFrame) -> DataFrame:

@@ -72,3 +72,32 @@ def test_order_view(spark):
     records = spark.createDataFrame([(1, "s1", "One"), (2, "s2", " ")], "id long, sync_id string, name string")
     seq = spark.createDataFrame([("k", '["s2","s1","s9"]'), ("bad", "x"), ("none", None)], "key string, ids string")
     assert [(r["pos"], r["sync_id"], r["label"]) for r in O.order_view(seq, records).orderBy("pos").collect()] == [(1, "s2", "Unnamed record"), (2, "s1", "One"), (3, "s9", "Unnamed record")]
+
+
+def test_choices_on_one_field_and_deletes(spark):
+    """The newest choice counts; a settled delete sets or clears the time of deletion; a deleted row stays so otherwise."""
+    server = rows(spark, ("a", "A", 1.0, None, 5), ("b", "B", 1.0, "t", 6), ("c", "C", 1.0, None, 7))
+    done = [(1, "a", "name", "applied", "old"), (2, "a", "name", "applied", "new"), (3, "b", "name", "applied", "B2"), (4, "c", "deleted_at", "applied", "2026"), (5, "b", "price", "reopened", "9")]
+    out = O.settled(server, spark.createDataFrame(done, "id long, sync_id string, field_name string, outcome string, value string"), FIELDS, 100).collect()
+    assert {r["sync_id"]: (r["name"], r["deleted_at"]) for r in out} == {"a": ("new", None), "b": ("B2", "t"), "c": ("C", "2026")}
+    alive = O.settled(server, spark.createDataFrame([(1, "b", "deleted_at", "applied", None)], "id long, sync_id string, field_name string, outcome string, value string"), FIELDS, 100).first()
+    assert (alive["sync_id"], alive["deleted_at"]) == ("b", None)
+
+
+def test_deletes_against_edits_and_typed_values(spark):
+    from ledgerloom.operators import replication as R
+
+    server = rows(spark, ("a", "A", 6971.0, None, 5), ("b", "B", 1.0, "t", 6))
+    schema = "id long, sync_id string, kind string, field_name string, offline_value string, online_value string, status string"
+    found = [(1, "a", "delete_edit", "deleted_at", "2026", None, "open"), (2, "b", "delete_edit", "deleted_at", None, "t0", "open"), (3, "b", "delete_edit", "deleted_at", None, "null", "open"), (4, "a", "financial", "price", "7", "6,971", "open"), (5, "a", "sr_ordering", "sr_no", "[]", "[]", "open")]
+    choices = spark.createDataFrame([(i, "KEEP_OFFLINE", None) for i in range(1, 6)], "id long, choice string, value string")
+    got = {r["id"]: (r["outcome"], r["value"]) for r in R.resolve_fields(spark.createDataFrame(found, schema), choices, server).collect()}
+    assert got == {1: ("applied", "2026"), 2: ("applied", None), 3: ("reopened", None), 4: ("applied", "7"), 5: ("invalid", None)}
+
+
+def test_a_stored_null_version_is_zero(spark):
+    from ledgerloom.operators.mutations import upsert
+
+    table = spark.createDataFrame([("a", None, "old"), ("b", None, "old"), ("c", 3, "old")], "sync_id string, server_rev long, name string")
+    new = spark.createDataFrame([("a", 5, "new"), ("b", 0, "new"), ("c", 3, "new"), ("d", 9, "new")], "sync_id string, expected long, name string")
+    assert {r["sync_id"]: r["name"] for r in upsert(table, new, expected="expected").collect()} == {"a": "old", "b": "new", "c": "new", "d": "new"}

@@ -89,3 +89,38 @@ def test_stream_follows_restarts_and_skips_done_batches(spark, tmp_path):
 def test_event_windows(spark):
     events = spark.createDataFrame([(datetime(2024, 1, 1, 0, m), "t", 1.0) for m in (0, 10, 59)] + [(datetime(2024, 1, 1, 1, 0), "t", 2.0)], "ts timestamp, event_type string, value double")
     assert sorted((r["n"], r["total"]) for r in oplog.event_windows(events).collect()) == [(1, 2.0), (3, 3.0)]
+
+
+def test_backups_are_read_back(spark, tmp_path):
+    df = spark.createDataFrame([(1, "it's", 1.5, "I/1"), (2, None, None, ""), (2, None, None, "")], "id long, name string, price double, invoice_no string")
+    manifest = sinks.backup(df, f"{tmp_path}/b", "t")
+    assert (manifest["rows"], manifest["statements"], manifest["verified"]) == (3, 3, True)
+    assert json.loads((tmp_path / "b" / "manifest.json").read_text()) == manifest
+    sinks.backup_invoices(df, f"{tmp_path}/i")
+    assert sorted(p.name for p in (tmp_path / "i").glob("invoice=*")) == ["invoice=I_1", "invoice=none"]
+
+
+def test_results_are_kept_until_their_table_changes(spark):
+    from ledgerloom import storage
+    from ledgerloom.operators.cache import VersionedCache
+
+    built = []
+
+    def build(t):
+        built.append(1)
+        return t.groupBy().count()
+
+    cache = VersionedCache(spark, storage.scratch(spark, "cache"))
+    table = lambda n: spark.range(n).selectExpr("id", "timestamp '2026-01-01' AS updated_at")
+    assert [cache.get("n", table(n), build).first()[0] for n in (3, 3, 4, 3)] == [3, 3, 4, 3] and len(built) == 3
+    cache.forget()
+    assert cache.get("n", table(3), build).first()[0] == 3 and len(built) == 4
+
+
+def test_imports_without_keys(spark):
+    from ledgerloom.sources.workbook import import_counts, import_defaults
+
+    rows = spark.createDataFrame([(5, None, " "), (7, 9, "I7"), (6, None, None)], "id long, sr_no long, invoice_no string")
+    keyed = import_defaults(rows, "id")
+    assert [(r["id"], r["sr_no"], r["invoice_no"]) for r in keyed.orderBy("id").collect()] == [(5, 1, "IMP-001"), (6, 2, "IMP-002"), (7, 9, "I7")]
+    assert tuple(import_counts(rows, keyed.limit(1)).first()) == (1, 2)

@@ -83,3 +83,11 @@ def test_extraction(spark):
     assert rows[0].asDict() == {"name": "Asha Rao", "price": "4,293.50", "mobile": "555", "bid": "DO123", "bid_date": "15/09/2024", "emi": "12", "di": "4000", "scheme": "12/4", "product": "TV X20", "address": "Plot 1, Lane 2", "missing": []}
     for r in rows[1:]:
         assert all(r[c] == "" for c in (*X.PATTERNS, "product", "address")) and r["missing"] == ["name", "price", "mobile"]
+
+
+def test_addresses_in_any_case(spark):
+    from ledgerloom.functions import extract as X
+
+    texts = ["DELIVERY ADDRESS : 12 Main St\nmobile number: 55", "Delivery Address: old\nAddress of the Customer for delivery: 7  Hill\nOn the delivery of the product x", "no label", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [r["address"] for r in X.extract_fields(df).collect()] == ["12 Main St", "7 Hill", "", ""]
