@@ -97,10 +97,11 @@ class Splitter:
                 out.append((start, n, "end", text_of(start, n)))
                 return out
             lo, hi = np.searchsorted(places, start + self.overlap, "right"), np.searchsorted(places, min(start + self.limit, n - 1), "right")
-            can = [k for k in range(hi - 1, lo - 1, -1)]
-            tidy = [k for k in can if clean[places[k] - self.overlap] and places[k] - start >= self.limit // 2]
-            legible = [k for k in can if whole[places[k] - self.overlap]]
-            chosen = next(((int(places[k]), units[k][1]) for k in (*tidy, *legible) if fits(int(places[k]))), None)
+            can = np.arange(hi - 1, lo - 1, -1)
+            ends_at = places[can]
+            tidy = can[clean[ends_at - self.overlap] & (ends_at - start >= self.limit // 2)]
+            legible = can[whole[ends_at - self.overlap]]
+            chosen = next(((int(places[k]), units[k][1]) for some in (tidy, legible) for k in some if fits(int(places[k]))), None)
             if chosen is None:
                 # between characters at both ends of the overlap; where these never meet (characters of three tokens), at its
                 # end alone; then anywhere.  The shortest piece that goes on has overlap + 1 tokens.

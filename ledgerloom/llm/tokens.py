@@ -100,8 +100,8 @@ class ForcedBoundaryEncoder:
         """The ids; none for a null or empty text. Lone surrogates count as U+FFFD."""
         if not text:
             return np.empty(0, np.int32)
-        parts = [self.bpe.encode_ordinary(f) for f in self.fragments(text, size)]
-        return np.array(parts[0] if len(parts) == 1 else [i for p in parts for i in p], np.int32)
+        parts = [self.bpe.encode_to_numpy(f, disallowed_special=()) for f in self.fragments(text, size)]
+        return (parts[0] if len(parts) == 1 else np.concatenate(parts)).astype(np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return self.bpe.decode_bytes(ids.tolist())
