@@ -552,13 +552,14 @@ def learned_trades(forms: DataFrame, most: int = MOST_TRADES, least: int = LEAST
     words = F.filter(F.split(F.regexp_replace("key", r"\([^)]*\)|[^a-z/ ]", " "), " +"), lambda w: F.length(w) > 0)
     listed = lambda ws: F.array(*(F.lit(w) for w in sorted(ws)))
     marks = listed(FIRM_MARKS | GLUE)
-    named = forms.select("phone10", words.alias("ws")).withColumn("own", F.array_except("ws", marks))
-    told = named.filter((F.size("own") > 1) & F.arrays_overlap("ws", listed(FIRM_MARKS)) & ~F.arrays_overlap("ws", listed(TRADES)))
+    read = lambda some: some.select("phone10", words.alias("ws")).withColumn("own", F.array_except("ws", marks))
+    marked = forms.filter(F.col("key").rlike(rf"(?:^|[^a-z/])(?:{'|'.join(sorted(FIRM_MARKS))})(?:$|[^a-z/])"))
+    told = read(marked).filter((F.size("own") > 1) & F.arrays_overlap("ws", listed(FIRM_MARKS)) & ~F.arrays_overlap("ws", listed(TRADES)))
     last = told.select("phone10", F.element_at("own", -1).alias("word")).filter("length(word) > 2")
     found = storage.cut(last.groupBy("word").agg(F.countDistinct("phone10").alias("n")).filter(F.col("n") >= least))
     if found.isEmpty():
         return []
-    all_of = named.select("phone10", F.explode("own").alias("word")).join(found.select("word"), "word", "left_semi").groupBy("word").agg(F.countDistinct("phone10").alias("all"))
+    all_of = read(forms).select("phone10", F.explode("own").alias("word")).join(found.select("word"), "word", "left_semi").groupBy("word").agg(F.countDistinct("phone10").alias("all"))
     own = found.join(all_of, "word").filter(F.col("n") * 2 >= F.col("all"))
     return [r["word"] for r in own.orderBy(F.desc("n"), "word").limit(most).collect()]
 
