@@ -1,7 +1,7 @@
 """Differences between two copies of a table, by shared key ordinals and presence bitmaps.
 
 Both sides are hashed into the same buckets of some 2^15 keys.  Within a bucket every distinct key
-of either side gets a dense ordinal; a key's global ordinal is ``bucket * 2^32 + local``.  Each side's
+of either side gets a dense ordinal, shared by the sides; bucket and ordinal together number all keys.  Each side's
 presence is a compressed bitmap over the ordinals (sorted arrays where sparse, bit fields where
 dense, in containers of 2^16).  AND-NOT gives the rows missing on a side; the intersection gives
 the ordinals at which the columns of both sides are laid out and compared as whole arrays.

@@ -18,6 +18,7 @@ from ledgerloom.operators import merge as M
 from ledgerloom.operators import mutations as U
 from ledgerloom.operators import outbox as O
 from ledgerloom.operators import replication as R
+from ledgerloom.schema import FIELD_TYPES, UNMERGED_FIELDS
 from ledgerloom.sources.sinks import insert_statements
 from ledgerloom.sources.tables import table
 from ledgerloom.streaming.oplog import event_windows
@@ -402,7 +403,7 @@ def export_rows(spark, folder):
     return L.workbook_rows(records(spark, folder)).select("id", "sheet", "sr")
 
 
-_WIDE = ("invoice_no", "name", "product", "serial_no", "phone")
+_WIDE = tuple(f for f, t in FIELD_TYPES.items() if t == "string")
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS field, least(greatest(coalesce(max(length({c})), 0) + 2, 12), 45) AS width FROM {_LIVE}" for c in _WIDE))
@@ -410,9 +411,17 @@ def export_widths(spark, folder):
     return L.column_widths(records(spark, folder), _WIDE)
 
 
-@query("""SELECT 'INSERT INTO records (id, name, serial_no) VALUES (' || id || ', ' || coalesce('''' || replace(name, '''', '''''') || '''', 'NULL') || ', ' || coalesce('''' || replace(serial_no, '''', '''''') || '''', 'NULL') || ');' AS value FROM records""")
+_DUMPED = [c for c in _ALL if c != "updated_at"]
+
+
+def _literal(c: str) -> str:
+    text = f"CAST({c} AS VARCHAR)" if c in _COLUMNS else f"'''' || replace({c}, '''', '''''') || ''''"
+    return f"coalesce({text}, 'NULL')"
+
+
+@query(f"SELECT 'INSERT INTO records ({', '.join(_DUMPED)}) VALUES (' || " + " || ', ' || ".join(map(_literal, _DUMPED)) + " || ');' AS value FROM records")
 def sql_dump(spark, folder):
-    return insert_statements(records(spark, folder).select("id", "name", "serial_no"), "records")
+    return insert_statements(records(spark, folder).select(*_DUMPED), "records")
 
 
 # Replication
@@ -449,25 +458,10 @@ def _triples(spark: SparkSession, folder: str) -> DataFrame:
     return last.join(server, "sync_id")
 
 
-_TRIPLES = f"""ops AS (SELECT sync_id, arg_max(payload_json, id) AS j FROM {_OPS} WHERE op_type = 'upsert' AND json_type(payload_json -> '$.base') = 'OBJECT' GROUP BY sync_id),
-srv AS (SELECT sync_id, arg_max(x, k) AS x FROM (SELECT sync_id, {{'server_rev': server_rev, 'id': id}} AS k, {{'name': name, 'product': product, 'serial_no': serial_no, 'bid': bid, 'phone': phone, 'price': price}} AS x FROM records_online WHERE sync_id IS NOT NULL) GROUP BY sync_id),
-t AS (SELECT ops.sync_id, j, x FROM ops JOIN srv USING (sync_id))"""
-
-
-def _sql_action(f: str) -> str:
-    b, o, n = f"(j ->> '$.base.{f}')", f"(j ->> '$.payload.{f}')", f"x.{f}"
-    if f == "price":
-        num = lambda c: f"round(TRY_CAST({c} AS DOUBLE), 2)"
-        same = lambda p, q: f"({num(p)} IS NOT DISTINCT FROM {num(q)})"
-    else:
-        same = lambda p, q: f"({_norm(p)} = {_norm(q)})"
-    return f"CASE WHEN {same(b, o)} AND {same(b, n)} THEN 'unchanged' WHEN {same(b, n)} THEN 'use_offline' WHEN {same(b, o)} THEN 'use_online' WHEN {same(o, n)} THEN 'converged' ELSE 'conflict' END"
-
+_MERGED = tuple(f for f in SHARED if f not in UNMERGED_FIELDS)
 
-_MERGED = ("name", "product", "serial_no", "bid", "phone", "price")
 
-
-@query(f"WITH {_TRIPLES} SELECT sync_id, " + ", ".join(f"{_sql_action(f)} AS {f}_action" for f in _MERGED) + " FROM t")
+@query()
 def merge_actions(spark, folder):
     merged = M.merge_rows(_triples(spark, folder), SHARED)
     return merged.select("sync_id", *(F.col("actions")[f].alias(f"{f}_action") for f in _MERGED))
@@ -479,21 +473,21 @@ def merge_resolved(spark, folder):
     return M.merge_rows(_triples(spark, folder), SHARED).select("sync_id", "resolved.*", F.size("conflicts").alias("n_conflicts"))
 
 
-@query(f"WITH {_TRIPLES}, a AS (" + " UNION ALL ".join(f"SELECT sync_id, '{f}' AS field, '{M.conflict_kind(f)}' AS kind, {_sql_action(f)} AS action FROM t" for f in _MERGED) + ") SELECT sync_id, field, kind FROM a WHERE action = 'conflict'")
+@query()
 def merge_conflicts(spark, folder):
     found = M.merge_rows(_triples(spark, folder), SHARED).select("sync_id", F.explode("conflicts").alias("c"))
-    return found.filter(F.col("c.field").isin(*_MERGED)).select("sync_id", "c.field", "c.kind")
+    return found.select("sync_id", "c.field", "c.kind")
 
 
-_ALIVE = "SELECT r.sync_id, r.deleted_at IS NULL AS f, o.deleted_at IS NULL AS n FROM records r JOIN (SELECT sync_id, min(deleted_at) AS deleted_at FROM records_online WHERE sync_id IS NOT NULL GROUP BY sync_id) o USING (sync_id)"
+_ALIVE = "SELECT r.sync_id, r.base_json IS NOT NULL AND r.phone IS NOT NULL AS b, r.deleted_at IS NULL AS f, o.deleted_at IS NULL AS n FROM records r JOIN (SELECT sync_id, min(deleted_at) AS deleted_at FROM records_online WHERE sync_id IS NOT NULL GROUP BY sync_id) o USING (sync_id)"
 
 
-@query(f"SELECT sync_id, CASE WHEN f AND n THEN 'unchanged' ELSE 'apply' END AS action, CASE WHEN f AND n THEN 'alive' WHEN NOT f AND NOT n THEN 'both' WHEN NOT f THEN 'offline' ELSE 'online' END AS why FROM ({_ALIVE})")
+@query(f"SELECT sync_id, CASE WHEN NOT b AND NOT f AND NOT n OR b AND f AND n THEN 'unchanged' WHEN NOT b THEN 'conflict' ELSE 'apply' END AS action, CASE WHEN NOT b AND NOT f AND NOT n THEN 'both_deleted' WHEN NOT b THEN 'resurrect' WHEN f AND n THEN 'alive' WHEN NOT f AND NOT n THEN 'both' WHEN NOT f THEN 'offline' ELSE 'online' END AS why FROM ({_ALIVE})")
 def tombstones(spark, folder):
-    """Rows alive when last agreed on, by who of the two has deleted them since."""
+    """Who of the two has deleted rows; those that have a state agreed on and a number stand for rows alive then."""
     online = table(spark, folder, "records_online").filter("sync_id IS NOT NULL").groupBy("sync_id").agg(F.min("deleted_at").alias("od"))
-    both = records(spark, folder).select("sync_id", "deleted_at").join(online, "sync_id")
-    return both.select("sync_id", M.tombstone_action(F.lit(True), F.col("deleted_at").isNull(), F.col("od").isNull()).alias("t")).select("sync_id", "t.*")
+    both = records(spark, folder).select("sync_id", "deleted_at", (F.col("base_json").isNotNull() & F.col("phone").isNotNull()).alias("b")).join(online, "sync_id")
+    return both.select("sync_id", M.tombstone_action(F.col("b"), F.col("deleted_at").isNull(), F.col("od").isNull()).alias("t")).select("sync_id", "t.*")
 
 
 @query()
@@ -557,14 +551,7 @@ def push_batches(spark, folder):
     return O.push_batches(table(spark, folder, "outbox")).select("id", "op_id", "batch")
 
 
-_CHANGED = ("name", "product", "serial_no", "bid", "phone")
-
-
-@query(f"""WITH s AS (SELECT sync_id, arg_max(x, k) AS x FROM (SELECT sync_id, {{'server_rev': server_rev, 'id': id}} AS k, {{'name': name, 'product': product, 'serial_no': serial_no, 'bid': bid, 'phone': phone, 'deleted_at': deleted_at}} AS x FROM records_online WHERE sync_id IS NOT NULL) GROUP BY sync_id)
-SELECT r.sync_id, CASE WHEN s.sync_id IS NOT NULL AND r.deleted_at IS NOT NULL AND x.deleted_at IS NULL THEN 'delete' ELSE 'upsert' END AS op_type FROM records r LEFT JOIN s USING (sync_id)
-WHERE r.sync_id IS NOT NULL AND ((s.sync_id IS NOT NULL AND r.deleted_at IS NOT NULL AND x.deleted_at IS NULL) OR (r.deleted_at IS NULL AND (s.sync_id IS NULL OR {" OR ".join(f"{_norm('r.' + f)} <> {_norm('x.' + f)}" for f in _CHANGED)})))""")
+@query()
 def local_changes(spark, folder):
     """The ops that would make the ledger of the server's rows."""
-    cols = ("deleted_at", "server_rev", *_CHANGED)
-    server = table(spark, folder, "records_online").filter("sync_id IS NOT NULL").groupBy("sync_id").agg(F.max_by(F.struct(*cols), F.struct("server_rev", "id")).alias("x")).select("sync_id", "x.*")
-    return O.changes_between(server, records(spark, folder), list(_CHANGED)).select("sync_id", "op_type")
+    return O.changes_between(R.newest(table(spark, folder, "records_online")), records(spark, folder), list(SHARED)).select("sync_id", "op_type")

@@ -13,6 +13,7 @@ from ledgerloom.operators import ledger as L
 from ledgerloom.operators import mutations as U
 from ledgerloom.operators import outbox as O
 from ledgerloom.operators import replication as R
+from ledgerloom.operators.merge import conflict_kind
 from ledgerloom.plans.ledger_queries import _CLEAN, _LIVE, _NUMBER, _OPS, MONTH, SHARED, _dated, _norm, _strip, _sums, records
 from ledgerloom.schema import EXTRACTED_LABELS, FIELD_LABELS, FINANCIAL_FIELDS, KIND_LABELS, PAGE_HEADINGS, UNMERGED_FIELDS
 from ledgerloom.sources.tables import table
@@ -332,8 +333,13 @@ def _three(rows: str) -> str:
 _JSON = lambda j, f: _typed(f, f"({j} ->> '{f}')")
 _CONFLICTS = " + ".join(f"CAST(a_{f} = 'conflict' AS INTEGER)" for f in _MERGED)
 _KEPT = {f: f"CASE WHEN a_{f} IN ('use_offline', 'converged') THEN o_{f} WHEN a_{f} = 'use_online' THEN n_{f} WHEN a_{f} = 'unchanged' THEN b_{f} END" for f in _MERGED}
-_sql["merge_resolved"] = f"""WITH ops AS (SELECT sync_id, arg_max(payload_json, id) AS j FROM {_OPS} WHERE op_type = 'upsert' AND json_type(payload_json -> '$.base') = 'OBJECT' GROUP BY sync_id), srv AS {_newest('records_online')},
-t AS (SELECT ops.sync_id, {', '.join(f"{_JSON('j -> ' + repr('$.base'), f)} AS b_{f}, {_JSON('j -> ' + repr('$.payload'), f)} AS o_{f}, srv.{f} AS n_{f}" for f in SHARED)} FROM ops JOIN srv USING (sync_id)), a AS {_three('t')}, r AS (SELECT *, {', '.join(f'{x} AS r_{f}' for f, x in _KEPT.items())} FROM a)
+_T = f"""ops AS (SELECT sync_id, arg_max(payload_json, id) AS j FROM {_OPS} WHERE op_type = 'upsert' AND json_type(payload_json -> '$.base') = 'OBJECT' GROUP BY sync_id), srv AS {_newest('records_online')},
+t AS (SELECT ops.sync_id, {', '.join(f"{_JSON('j -> ' + repr('$.base'), f)} AS b_{f}, {_JSON('j -> ' + repr('$.payload'), f)} AS o_{f}, srv.{f} AS n_{f}" for f in SHARED)} FROM ops JOIN srv USING (sync_id)), a AS {_three('t')}"""
+_sql["merge_actions"] = f"WITH {_T} SELECT sync_id, {', '.join(f'a_{f} AS {f}_action' for f in _MERGED)} FROM a"
+_sql["merge_conflicts"] = f"WITH {_T} " + " UNION ALL ".join(f"SELECT sync_id, '{f}' AS field, '{conflict_kind(f)}' AS kind FROM a WHERE a_{f} = 'conflict'" for f in _MERGED)
+_sql["local_changes"] = f"""WITH s AS {_newest('records_online')}, c AS (SELECT r.sync_id, s.sync_id IS NOT NULL AS here, r.deleted_at IS NOT NULL AS gone, s.deleted_at IS NOT NULL AS was, {' OR '.join(f"{_form(f, 'r.' + f)} <> {_form(f, 's.' + f)}" for f in SHARED)} AS differs FROM records r LEFT JOIN s USING (sync_id) WHERE r.sync_id IS NOT NULL)
+SELECT sync_id, CASE WHEN here AND gone AND NOT was THEN 'delete' ELSE 'upsert' END AS op_type FROM c WHERE (here AND gone AND NOT was) OR (NOT gone AND (NOT here OR differs))"""
+_sql["merge_resolved"] = f"""WITH {_T}, r AS (SELECT *, {', '.join(f'{x} AS r_{f}' for f, x in _KEPT.items())} FROM a)
 SELECT sync_id, {', '.join(f'r_{f} AS {f}' for f in _MERGED)}, o_sr_no AS sr_no, coalesce({_month('r_bid_date')}, nullif(o_month, ''), nullif(n_month, ''), nullif(b_month, '')) AS month, {_CONFLICTS} AS n_conflicts FROM r"""
 _sql["pulled_merge"] = f"""WITH srv AS {_newest('(SELECT * FROM records_online WHERE server_rev > 0)')}, t AS (SELECT srv.sync_id, srv.server_rev, r.sync_id IS NOT NULL AS here, {', '.join(f"CASE WHEN r.base_json IS NULL THEN r.{f} ELSE {_JSON('r.base_json', f)} END AS b_{f}, r.{f} AS o_{f}, srv.{f} AS n_{f}" for f in SHARED)}
 FROM srv LEFT JOIN records r ON r.sync_id = srv.sync_id WHERE srv.sync_id NOT IN (SELECT sync_id FROM {_OPS} WHERE status IN ('pending', 'in_flight', 'blocked'))), a AS {_three('t')}
