@@ -55,10 +55,13 @@ _CURRENT = "OCTOBER_2026"
 
 # Pages
 
+_HEADS = {f: h.replace(" ", "_") for f, h in PAGE_HEADINGS.items()}
 
-@query("SELECT id, " + ", ".join(f"split_part(coalesce(bid_date, ''), ' ', 1) AS \"{h}\"" if f == "bid_date" else f'{f} AS "{h}"' for f, h in PAGE_HEADINGS.items()) + f" FROM {_LIVE}")
+
+@query("SELECT id, " + ", ".join(f"split_part(coalesce(bid_date, ''), ' ', 1) AS {h}" if f == "bid_date" else f"{f} AS {h}" for f, h in _HEADS.items()) + f" FROM {_LIVE}")
 def records_page(spark, folder):
-    return L.page_columns(L.live(records(spark, folder)))
+    page = L.page_columns(L.live(records(spark, folder)))
+    return page.select("id", *(F.col(f"`{h}`").alias(_HEADS[f]) for f, h in PAGE_HEADINGS.items()))
 
 
 @query(f"SELECT id, name, (SELECT count(*) FROM {_LIVE} AND month = '{MONTH}') AS total FROM {_LIVE} AND month = '{MONTH}' ORDER BY name DESC NULLS LAST, id DESC LIMIT 20")
