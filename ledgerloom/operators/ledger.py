@@ -160,7 +160,7 @@ def daily_calendar(records: DataFrame, month: str) -> DataFrame:
 
 def available_months(records: DataFrame, current: str) -> DataFrame:
     """The months there are and the current one, newest first, malformed ones before all."""
-    months = live(records).filter(filled("month")).select("month").distinct()
+    months = live(records).filter(filled("month")).select("month")
     both = months.unionByName(records.sparkSession.range(1).select(F.lit(current).alias("month"))).distinct()
     return by_month(both, newest=True)
 
