@@ -13,7 +13,7 @@ from ledgerloom.functions import values as V
 from ledgerloom.operators import merge as M
 from ledgerloom.operators.changelog import whole_object
 from ledgerloom.operators.ranking import rank_within
-from ledgerloom.operators.scan import HOT_ROWS, last_before
+from ledgerloom.operators.scan import HOT_ROWS, hot_groups, last_before
 from ledgerloom.schema import BUSINESS_FIELDS, FIELD_LABELS, FIELD_TYPES, FINANCIAL_FIELDS, KIND_LABELS, UNMERGED_FIELDS
 
 # States of an op, kinds of conflict that hold a row back, choices of a resolution.
@@ -164,7 +164,15 @@ class _Engine:
         self.at = {f: i for i, f in enumerate(self.order)}
         forms = lambda s: M.comparable(self.order, lambda f: F.col(f"{s}.{f}"))
         based = (F.coalesce("base_rev", F.lit(0)) != 0) & F.coalesce(*(F.col(f"base.{f}").cast("string") for f in fields)).isNotNull()
-        self.todo = storage.cut(ops.select("id", "op_id", "sync_id", "op_type", "payload", "base", forms("payload").alias("off"), forms("base").alias("was"), ((F.col("op_type") == "upsert") & ~based).alias("makes")))
+        month = lambda s: (F.col(f"{s}.month") if "month" in self.fields else F.lit(None).cast("string")).alias(f"{s}_month")
+        gone = lambda s: F.col(f"{s}.deleted_at").isNotNull().alias(f"{s}_gone")
+        self.todo = storage.cut(
+            ops.select(
+                "id", "op_id", "sync_id", "op_type", "payload", "base", forms("payload").alias("off"), forms("base").alias("was"), ((F.col("op_type") == "upsert") & ~based).alias("makes"),
+                month("payload"), month("base"), F.coalesce(gone("payload"), F.lit(False)).alias("payload_gone"), F.coalesce(gone("base"), F.lit(False)).alias("base_gone"), F.col("base").isNotNull().alias("has_base"),
+            )
+        )
+        self.hot = hot_groups(self.todo, "sync_id", hot_rows)
         self.stored = applied.groupBy("op_id").agg(F.min_by("result", "id").alias("stored"), F.min_by("server_rev_after", "id").alias("stored_rev"))
         deleted = F.col("deleted_at") if "deleted_at" in server.columns else F.lit(None).cast("string")
         mine = newest(server).join(self.todo.select("sync_id").distinct(), "sync_id", "left_semi")
@@ -214,31 +222,31 @@ class _Engine:
     def _steps(self, todo: DataFrame) -> DataFrame:
         """The ops in their roles, with the state of the row before each."""
         size = len(self.order)
-        ops = todo.drop("_known").join(self._roles(todo), "id").join(self.parked, "id", "left")
+        ops = todo.drop("_known", "payload", "base").join(self._roles(todo), "id").join(self.parked, "id", "left")
         takes, update = F.col("role") == "takes", F.col("there") & (F.col("op_type") == "upsert")
         edits = F.zip_with("off", "was", lambda o, w: F.when(o != w, o))
         sets = F.when(takes & (F.col("op_type") == "upsert"), F.when(F.col("there"), edits).otherwise(F.col("off")))
-        ops = ops.withColumns({"sets": sets, "dies": takes & F.col("there") & ((F.col("op_type") == "delete") | F.col("payload.deleted_at").isNotNull()), "holds": F.lit(False), "update": takes & update})
+        ops = ops.withColumns({"sets": sets, "dies": takes & F.col("there") & ((F.col("op_type") == "delete") | F.col("payload_gone")), "holds": F.lit(False), "update": takes & update})
         rows = self.server.select("sync_id", F.lit(_SERVER).alias("id"), M.comparable(self.order, lambda f: F.col(f"row.{f}")).alias("sets"), F.col("gone_at").isNotNull().alias("dies"), F.col("row").alias("row"), *([F.col("row.month").alias("_own_month")] if "month" in self.fields else []))
         marks = self.held.select("sync_id", F.lit(_HELD).alias("id"), F.lit(True).alias("holds"))
         every = ops.unionByName(rows, allowMissingColumns=True).unionByName(marks, allowMissingColumns=True)
-        scanned = last_before(every, "sync_id", "id", {f"_n{i}": F.col("sets")[i] for i in range(size)} | {"gone": F.when(F.col("dies"), True), "held": F.when(F.col("holds"), True)}, self.hot_rows)
+        scanned = last_before(every, "sync_id", "id", {f"_n{i}": F.col("sets")[i] for i in range(size)} | {"gone": F.when(F.col("dies"), True), "held": F.when(F.col("holds"), True)}, self.hot, self.hot_rows)
         scanned = scanned.withColumn("cur", F.array(*(F.col(f"_n{i}") for i in range(size)))).drop(*(f"_n{i}" for i in range(size)))
         if "month" not in self.fields:
             return scanned.withColumns({"sets_month": F.lit(None).cast("string"), "month_now": F.lit(None).cast("string")})
         d = self.at.get("bid_date")
         dated = F.lit("") if d is None else V.month_of(F.when(F.col("update"), F.coalesce(F.col("sets")[d], F.col("cur")[d])).otherwise(F.col("off")[d]))
-        typed = F.nullif(F.col("payload.month"), F.lit(""))
+        typed = F.nullif(F.col("payload_month"), F.lit(""))
         own = F.when(takes & (F.col("op_type") == "upsert"), F.coalesce(F.nullif(dated, F.lit("")), typed))
         scanned = scanned.withColumn("sets_month", F.coalesce(F.col("_own_month"), own)).drop("_own_month")
-        return last_before(scanned, "sync_id", "id", {"month_now": F.col("sets_month")}, self.hot_rows)
+        return last_before(scanned, "sync_id", "id", {"month_now": F.col("sets_month")}, self.hot, self.hot_rows)
 
     def _decided(self, steps: DataFrame) -> DataFrame:
         """The decision table: each op by the facts on it and on the row before it, the first condition that holds."""
         month = "month" in self.fields
         alike = lambda a, b: V.norm_text(a) == V.norm_text(b)
-        moved = F.exists(F.zip_with("was", "cur", lambda w, c: w != c), lambda x: x) | (~alike("base.month", "month_now") if month else F.lit(False))
-        edited = F.exists(F.zip_with("was", "off", lambda w, o: w != o), lambda x: x) | (~alike("base.month", "payload.month") if month else F.lit(False))
+        moved = F.exists(F.zip_with("was", "cur", lambda w, c: w != c), lambda x: x) | (~alike("base_month", "month_now") if month else F.lit(False))
+        edited = F.exists(F.zip_with("was", "off", lambda w, o: w != o), lambda x: x) | (~alike("base_month", "payload_month") if month else F.lit(False))
         facts = F.transform(F.arrays_zip("was", "off", "cur"), lambda x: (x["was"] != x["off"]) & (x["was"] != x["cur"]) & (x["off"] != x["cur"]))
         steps = steps.withColumns({"_moved": moved, "_edited": edited, "_clash": facts})
         told = lambda kind, f: F.struct(F.lit(kind).alias("kind"), F.lit(f).alias("field"))
@@ -248,7 +256,7 @@ class _Engine:
         nothing = F.array().cast("array<struct<kind:string,field:string>>")
         verdict = lambda result, reason="", found=nothing: F.struct(F.lit(result).alias("result"), F.lit(reason).alias("reason"), found.alias("conflicts"))
         removes, gone = F.col("op_type") == "delete", F.coalesce("gone", F.lit(False))
-        alive, was_gone = F.col("payload.deleted_at").isNull(), F.col("base.deleted_at").isNotNull()
+        alive, was_gone = ~F.col("payload_gone"), F.col("base_gone")
         against = verdict("conflict", "", F.array(told("delete_edit", "deleted_at")))
         opened = F.when(F.col("opens"), F.array(told("sr_ordering", "sr_no"))).otherwise(nothing)
         table = [
@@ -261,7 +269,7 @@ class _Engine:
             (F.col("role") == "early", verdict("error", "new row with a base")),
             (F.col("opens").isNotNull(), verdict("conflict", "month order", F.concat(opened, "_merged"))),
             (removes & gone, verdict("noop", "already deleted")),
-            (removes & F.col("base").isNotNull() & F.col("_moved"), against),
+            (removes & F.col("has_base") & F.col("_moved"), against),
             (removes | ~F.col("there"), verdict("applied")),
             (F.size("_merged") > 0, verdict("conflict", "", F.col("_merged"))),
             (gone & alive & F.col("_edited"), against),
@@ -274,7 +282,7 @@ class _Engine:
 
     def _once(self, todo: DataFrame) -> DataFrame:
         decided = self._decided(self._steps(todo))
-        stopped = last_before(decided, "sync_id", "id", {"stop": F.when(F.col("result") == "conflict", True)}, self.hot_rows).filter(F.col("id") > _SERVER)
+        stopped = last_before(decided, "sync_id", "id", {"stop": F.when(F.col("result") == "conflict", True)}, self.hot, self.hot_rows).filter(F.col("id") > _SERVER)
         late = F.coalesce("stop", F.lit(False)) & F.col("role").isin("takes", "early")
         nothing = F.array().cast("array<struct<kind:string,field:string>>")
         stopped = storage.cut(stopped.withColumns({"result": F.when(late, "conflict").otherwise(F.col("result")), "reason": F.when(late, "open conflict").otherwise(F.col("reason")), "conflicts": F.when(late, nothing).otherwise(F.col("conflicts"))}))
@@ -306,6 +314,7 @@ class _Engine:
 
     def rows_after(self, new: DataFrame) -> DataFrame:
         """``sync_id, row, deleted_at``: each field as the last applied op left it that set it or met it unchanged."""
+        new = new.join(self.todo.select("id", "payload", "base"), "id")
         steps = new.select("sync_id", "id", "op_type", "payload", "base", "off", "was", "cur", "there", "update", "sets_month", F.lit(None).cast(self.server.schema["row"].dataType).alias("row"), F.lit(None).cast("string").alias("gone_at"))
         olds = self.server.join(new.select("sync_id").distinct(), "sync_id", "left_semi").select("sync_id", F.lit(_SERVER).alias("id"), "row", "gone_at")
         every = steps.unionByName(olds, allowMissingColumns=True)

@@ -11,19 +11,24 @@ from ledgerloom import storage
 HOT_ROWS = 100_000
 
 
-def last_before(df: DataFrame, group: str, order: str, values: dict[str, Column], hot_rows: int = HOT_ROWS) -> DataFrame:
+def hot_groups(df: DataFrame, group: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """The groups of more than ``hot_rows`` rows; None if there are none."""
+    hot = storage.cut(df.groupBy(group).count().filter(F.col("count") > hot_rows).select(group, F.lit(True).alias("_hot")))
+    return None if hot.isEmpty() else hot
+
+
+def last_before(df: DataFrame, group: str, order: str, values: dict[str, Column], hot: DataFrame | None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``df`` and under each name of ``values`` its last value that isn't null among the group's rows before this one.
 
-    ``order`` is a bigint unique within the group.  A group of more than ``hot_rows`` rows is cut into chunks of so many
+    ``order`` is a bigint unique within the group.  A group of ``hot`` (``hot_groups``) is cut into chunks of ``hot_rows``
     consecutive places, each scanned by itself; what each chunk ends with, one row a chunk, is scanned
     in turn and carried into the next ones.
     """
     df = df.withColumns({f"_set_{n}": v for n, v in values.items()})
-    hot = storage.cut(df.groupBy(group).count().filter(F.col("count") > hot_rows).select(group, F.lit(True).alias("_hot")))
     before = lambda *by: Window.partitionBy(*by)
     last = lambda n, w: F.last(n, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     drop = [f"_set_{n}" for n in values]
-    if hot.isEmpty():
+    if hot is None:
         return df.withColumns({n: last(f"_set_{n}", before(group).orderBy(order)) for n in values}).drop(*drop)
     cut = df.join(hot, group, "left").withColumn("_chunk", F.when(F.col("_hot"), F.floor(F.col(order) / hot_rows)).otherwise(F.lit(0)).cast("bigint"))
     within = cut.withColumns({f"_in_{n}": last(f"_set_{n}", before(group, "_chunk").orderBy(order)) for n in values})
